@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terazi.llm import leakage, near_duplicates, shared_spans, tokenizing
+from terazi.llm import leakage, near_duplicates, personal, shared_spans, tokenizing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": near_duplicates.p2_found,
     "p2_groups": near_duplicates.p2_groups,
+    "p3_found": personal.p3_found,
+    "p3_masked": personal.p3_masked,
     "p7_ids": tokenizing.p7_ids,
     "p8_found": leakage.p8_found,
     "p8_edited": leakage.p8_edited,
