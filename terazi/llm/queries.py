@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terazi.llm import leakage, near_duplicates, personal, shared_spans, tokenizing
+from terazi.llm import garbled, leakage, near_duplicates, personal, shared_spans, tokenizing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": garbled.p1_found,
+    "p1_restored": garbled.p1_restored,
     "p2_found": near_duplicates.p2_found,
     "p2_groups": near_duplicates.p2_groups,
     "p3_found": personal.p3_found,
