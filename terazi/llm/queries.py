@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terazi.llm import garbled, leakage, near_duplicates, personal, shared_spans, tokenizing
+from terazi.llm import garbled, leakage, near_duplicates, personal, residue, shared_spans, tokenizing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": garbled.p1_found,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_groups": near_duplicates.p2_groups,
     "p3_found": personal.p3_found,
     "p3_masked": personal.p3_masked,
+    "p4_found": residue.p4_found,
+    "p4_clean": residue.p4_clean,
     "p7_ids": tokenizing.p7_ids,
     "p8_found": leakage.p8_found,
     "p8_edited": leakage.p8_edited,
