@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terazi.llm import garbled, leakage, near_duplicates, personal, residue, shared_spans, tokenizing
+from terazi.llm import garbled, homoglyphs, leakage, near_duplicates, personal, residue, shared_spans, splitting, tokenizing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": garbled.p1_found,
@@ -17,6 +17,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_masked": personal.p3_masked,
     "p4_found": residue.p4_found,
     "p4_clean": residue.p4_clean,
+    "p5_found": splitting.p5_found,
+    "p5_pieces": splitting.p5_pieces,
+    "p6_found": homoglyphs.p6_found,
+    "p6_text": homoglyphs.p6_text,
     "p7_ids": tokenizing.p7_ids,
     "p8_found": leakage.p8_found,
     "p8_edited": leakage.p8_edited,
