@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from terazi.plans import retrieval_queries, table_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-from terazi.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "olcum_ogesi")
+_MODULES = (text_queries, retrieval_queries, table_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: s for m in _MODULES for name, s in m.ORACLE_SQL.items()}
+flagship = retrieval_queries.fused_questions
