@@ -172,20 +172,19 @@ def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def encode_words(words: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Adds ``ids``: the fold for words of up to FOLD_BYTES bytes, the heap for longer ones."""
+    """Adds ``ids``: the fold for words of up to FOLD_BYTES bytes, the heap for longer ones, in one pass."""
     vocabulary = vocabulary or default_vocabulary()
     literal = rank_literal(read_ranks(vocabulary))
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def long_word(series):  # noqa: ANN001, ANN202
         ranks = read_ranks(vocabulary)
-        return series.map(lambda w: heap_merge(w.encode(), ranks))
+        return series.map(lambda w: None if w is None else heap_merge(w.encode(), ranks))
 
-    short = words.filter(F.octet_length("word") <= FOLD_BYTES)
-    longer = words.filter(F.octet_length("word") > FOLD_BYTES)
+    size = F.octet_length("word")
     # One lambda variable holds the map, so that the plan carries the literal once.
-    folded = F.element_at(F.transform(F.array(literal), lambda ranks: fold_merges(F.col("word"), ranks)), 1)
-    return short.withColumn("ids", folded).unionByName(longer.withColumn("ids", long_word("word")))
+    folded = F.element_at(F.transform(F.array(literal), lambda ranks: fold_merges(F.when(size <= FOLD_BYTES, F.col("word")), ranks)), 1)
+    return words.withColumn("ids", F.coalesce(folded, long_word(F.when(size > FOLD_BYTES, F.col("word")))))
 
 
 class _Lookup:
