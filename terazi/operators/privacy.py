@@ -69,7 +69,7 @@ def masked(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return joined.select(id_col, done.alias("maskeli"), table.alias("tablo"))
 
 
-def unmasked(rows: DataFrame, text: str = "maskeli", table: str = "tablo") -> Column:
+def unmasked(text: str = "maskeli", table: str = "tablo") -> Column:
     """The text before masking."""
     return F.aggregate(F.map_entries(table), F.col(text), lambda t, e: F.replace(t, e["key"], e["value"]))
 

@@ -325,3 +325,18 @@ def filed_documents(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", "belge", F.length("text").alias("n"))
     named = relational.first_per_key(rows.filter("belge is not null"), ["belge"], [F.desc("doc_id")])
     return named.unionByName(rows.filter("belge is null"))
+
+
+@query("SELECT date_trunc('day', ts) AS gun, count(*) AS istek, round(sum(value), 2) AS tutar FROM events GROUP BY 1")
+def streamed_spending(spark: SparkSession, d: str) -> DataFrame:
+    """Daily calls and spending by a stream over the event file, run once to its end."""
+    import uuid
+
+    from terazi.session import shared_dir
+    from terazi.streaming.flows import daily_spending, run_once
+
+    source = table(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+    name = f"gunluk_{uuid.uuid4().hex}"
+    done = run_once(daily_spending(stream), name, f"{shared_dir(spark)}/{name}", "complete")
+    return done.select(F.col("gun").cast("timestamp_ntz").alias("gun"), "istek", F.round("tutar", 2).alias("tutar"))

@@ -254,7 +254,7 @@ def masked_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Decisions with placeholders; ``geri`` tells whether the map gives the text back."""
     rows = table(spark, d, "danistay_karari").select("kayit_no", "metin")
     masked = privacy.masked(rows, "kayit_no", "metin").join(rows, "kayit_no")
-    return masked.select("kayit_no", "maskeli", F.size("tablo").alias("n"), privacy.unmasked(masked).eqNullSafe(F.col("metin")).alias("geri"))
+    return masked.select("kayit_no", "maskeli", F.size("tablo").alias("n"), privacy.unmasked().eqNullSafe(F.col("metin")).alias("geri"))
 
 
 _LEAKS = ", ".join(f"struct_pack(tur := '{k}', n := len(regexp_extract_all(coalesce(metin, ''), '{p}'))::INT)" for k, p in privacy.LEAKS)
