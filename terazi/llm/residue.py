@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terazi.session import written
+
 #: Unfilled placeholders (fixed values, Java patterns).
 PLACEHOLDERS = (
     r"\{\{[^{}]*\}\}",
@@ -156,7 +158,8 @@ def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles, addresses and flags that hold residue instead of content."""
     articles, laws = _read(spark, sf_dir)
-    texts = judged_articles(articles, laws)
+    # Judged once; both results below read the verdicts.
+    texts = written(judged_articles(articles, laws).drop("metin"))
     rows = judged_laws(laws, texts)
 
     def named(df: DataFrame, table: str, field: str) -> DataFrame:
