@@ -157,15 +157,17 @@ def leaks(
     hits = found.select("d", F.explode(F.arrays_zip("h", "pos")).alias("g")).select("d", "g.h", "g.pos")
     held = hits.groupBy("h").agg(F.countDistinct("d").alias("df"))
 
-    # The rarest seed of each stretch: seeds that start in the last stretch - seed + 1 places.
+    # The rarest seed of each stretch that the corpus holds at all: seeds that start in the last
+    # stretch - seed + 1 places. All seeds of a leaked stretch are held, so the chosen one is its.
     places = stretch - seed + 1
     window = Window.partitionBy("item", "part").orderBy("p").rowsBetween(-(places - 1), 0)
     whole = Window.partitionBy("item", "part")
-    ranked = grams.join(held, "h", "left").withColumn("r", F.struct(F.coalesce("df", F.lit(0)), "h"))
+    ranked = grams.join(held, "h", "left").withColumn("r", F.when(F.col("df").isNotNull(), F.struct("df", "h")))
     rare = (
         ranked.withColumn("least", F.min("r").over(window))
         .withColumn("n", F.count("*").over(whole))
         .filter((F.col("p") >= places - 1) | (F.col("p") == F.col("n") - 1))
+        .filter("least is not null")
         .select("item", "part", F.col("least.h").alias("h"))
         .distinct()
     )
