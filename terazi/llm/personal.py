@@ -47,6 +47,7 @@ _ROLE_BEFORE = re.compile(rf"{ROLES}\s$")
 _MAIL = re.compile(
     r"[\w.+%-]+(?:\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?)[\w-]+(?:(?:\.|\s?[\[(]\s?(?:nokta|dot)\s?[\])]\s?)[\w-]+)+", re.I
 )
+_PLACEHOLDER = re.compile(r"\[[A-ZÇĞİÖŞÜ]{2,}[ _][^\[\]]{1,80}\]")
 _IBAN = re.compile(r"TR\d{2}(?:[ ]?\d{4}){5}[ ]?\d{2}")
 _PHONE = re.compile(
     r"(?<![\w+/.,:(-])(?:\+90[ .-]?\(?|90[ .-]\(?|0[ .-]?\(?|\(0)[2-5]\d{2}\)?[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2}(?!\w|[/.,-]\d)"
@@ -104,6 +105,8 @@ def find_personal(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of each place, in order and without overlaps; positions from 0."""
     found: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = [m.span() for m in _IBAN.finditer(text)] if "TR" in text else []
+    if "[" in text:
+        taken += [m.span() for m in _PLACEHOLDER.finditer(text)]
 
     def free(a: int, b: int) -> bool:
         return not any(x < b and a < y for x, y in taken)
