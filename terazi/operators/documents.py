@@ -63,9 +63,12 @@ def packed(paragraphs: Column, limit: int, separator: str = "\n") -> Column:
 def packs(docs: DataFrame, id_col: str, text: Column, limit: int = 1_500, least: int = 80) -> DataFrame:
     """``id_col, parca_no, parca_adet, parca``: packs of at least ``least`` characters, or the only one."""
     paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    every = docs.select(id_col, packed(paragraphs, limit).alias("_p"))
-    kept = every.withColumn("_k", F.filter("_p", lambda x: (F.length(x) >= least) | (F.size("_p") == 1)))
-    return kept.select(id_col, F.size("_k").alias("parca_adet"), F.posexplode("_k").alias("_i", "parca")).select(id_col, (F.col("_i") + 1).alias("parca_no"), "parca_adet", "parca")
+    # Lambda variables bind what is used more than once, else it would be computed again each time.
+    kept = F.element_at(F.transform(F.array(packed(paragraphs, limit)), lambda p: F.filter(p, lambda x: (F.length(x) >= least) | (F.size(p) == 1))), 1)
+    numbered = F.element_at(
+        F.transform(F.array(kept), lambda k: F.transform(k, lambda x, i: F.struct((i + 1).alias("parca_no"), F.size(k).alias("parca_adet"), x.alias("parca")))), 1
+    )
+    return docs.select(id_col, F.explode(numbered).alias("_s")).select(id_col, "_s.parca_no", "_s.parca_adet", "_s.parca")
 
 
 def spelling_map(texts: DataFrame, text: str, shortest: int = 3) -> DataFrame:

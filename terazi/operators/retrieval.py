@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terazi.functions.text import tokens
+from terazi.session import written
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Digits that scores keep: sums of floats don't depend on their order beyond.
@@ -27,35 +28,81 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def term_statistics(posted: DataFrame, n_docs: int) -> DataFrame:
-    """``term, df, idf``; an idf below zero becomes a part of the mean idf."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    scored = df.withColumn("_raw", raw)
+def term_statistics(docs: DataFrame, text: Column, n_docs: int) -> DataFrame:
+    """``term, df, idf``; an idf below zero becomes a part of the mean idf. The frequencies are written
+    once, as both the mean and the terms are read from them."""
+    df = written(docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    scored = df.withColumn("_raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = scored.agg(F.avg("_raw")).scalar()
     return scored.select("term", "df", F.when(F.col("_raw") < 0, EPSILON * mean).otherwise(F.col("_raw")).alias("idf"))
 
 
-def bm25_top(queries: DataFrame, docs: DataFrame, id_col: str, text: Column, k: int = 10) -> DataFrame:
-    """``query_id, doc_id, skor, rank`` of ``queries`` (``query_id, text``).
+#: Queries whose terms are sent to every task; more of them meet the postings in a join.
+SENT_QUERIES = 20_000
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, id_col: str, text: Column, k: int = 10, sent: int = SENT_QUERIES) -> DataFrame:
+    """``query_id, doc_id, skor, rank`` of ``queries`` (``query_id, text``; ids are integers).
 
     Always k rows a query while there are documents: those without a common term have score 0 and
     follow in the order of their ids. Repeated query terms count each time. Statistics are over all
-    documents."""
-    posted = postings(docs, id_col, text)
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    # A missing text has no terms but counts as a document, of length 0.
-    totals = docs.agg(F.count("*").alias("n"), F.sum(F.size(tokens(text))).alias("total")).first()
+    documents; a missing text counts as a document of length 0.
+
+    Up to ``sent`` queries are scored where the documents are, as products of sparse rows, and each
+    task passes on its k best; a join would pass on every document that shares a common word."""
+    split = docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("_t"))
+    totals = split.agg(F.count("*").alias("n"), F.sum(F.size("_t")).alias("total")).first()
     n_docs, mean = totals["n"], (totals["total"] or 0) / max(1, totals["n"])
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    wanted = posted.join(asked.select("term").distinct(), "term", "left_semi")
-    weights = term_statistics(posted, n_docs)
+    weights = term_statistics(docs, text, n_docs)
+    named = queries.select("query_id").distinct()
+    if named.count() > sent:
+        return _bm25_joined(named, asked, docs, id_col, text, weights, mean, k)
+    terms = weights.join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf").toArrow()
+    known = dict(zip(terms["term"].to_pylist(), range(terms.num_rows), strict=True))
+    ids = np.sort(named.toArrow()["query_id"].to_numpy())
+    matrix = np.zeros((len(known), len(ids)), np.float64)
+    for row in asked.toArrow().to_pylist():
+        if row["term"] in known:
+            matrix[known[row["term"]], np.searchsorted(ids, row["query_id"])] = row["qn"]
+    matrix *= terms["idf"].to_numpy()[:, None] if len(known) else 1
+    shared = docs.sparkSession.sparkContext.broadcast((known, ids, matrix))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids, matrix = shared.value
+        best_id, best = np.zeros((0, len(ids)), np.int64), np.zeros((0, len(ids)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                rows, cols, sizes = [], [], np.zeros(part.num_rows)
+                for i, words in enumerate(part.column(1).to_pylist()):
+                    sizes[i] = len(words)
+                    found = [known[w] for w in words if w in known]
+                    cols += found
+                    rows += [i] * len(found)
+                cell, tf = np.unique(np.array(rows, np.int64) * max(1, len(known)) + np.array(cols, np.int64), return_counts=True)
+                gains = np.zeros((part.num_rows, len(known)))
+                row, col = np.divmod(cell, max(1, len(known)))
+                gains[row, col] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / (mean or 1.0)))
+                docs_in = np.broadcast_to(part.column(0).to_numpy()[:, None], (part.num_rows, len(ids)))
+                every, every_id = np.concatenate([best, np.round(gains @ matrix, DIGITS)]), np.concatenate([best_id, docs_in])
+                order = np.lexsort((every_id, -every), axis=0)[:k]
+                best, best_id = np.take_along_axis(every, order, 0), np.take_along_axis(every_id, order, 0)
+        out = np.broadcast_to(ids, best.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(out.ravel()), pa.array(best_id.ravel()), pa.array(best.ravel())], ["query_id", "doc_id", "skor"])
+
+    return ranked(split.select(F.col("doc_id").cast("long"), "_t").mapInArrow(score, "query_id long, doc_id long, skor double"), "skor", k)
+
+
+def _bm25_joined(named: DataFrame, asked: DataFrame, docs: DataFrame, id_col: str, text: Column, weights: DataFrame, mean: float, k: int) -> DataFrame:
+    """The same by joins, for any number of queries."""
+    wanted = postings(docs, id_col, text).join(asked.select("term").distinct(), "term", "left_semi")
     norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0)))
     gain = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     hits = wanted.join(weights, "term").join(asked, "term")
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), DIGITS).alias("skor"))
-    first = ids.orderBy("doc_id").limit(k).agg(F.collect_list("doc_id")).scalar()
-    padding = queries.select("query_id").distinct().select("query_id", F.explode(first).alias("doc_id"), F.lit(0.0).alias("skor"))
+    first = docs.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(k).agg(F.collect_list("doc_id")).scalar()
+    padding = named.select("query_id", F.explode(first).alias("doc_id"), F.lit(0.0).alias("skor"))
     every = scored.unionByName(padding).groupBy("query_id", "doc_id").agg(F.max("skor").alias("_hi"), F.min("skor").alias("_lo"))
     every = every.select("query_id", "doc_id", F.when(F.col("_lo") < 0, F.col("_lo")).otherwise(F.col("_hi")).alias("skor"))
     return ranked(every, "skor", k)

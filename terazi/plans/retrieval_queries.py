@@ -40,7 +40,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 def bm25_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency and idf of every term of the articles."""
     docs = _articles(spark, d)
-    stats = retrieval.term_statistics(retrieval.postings(docs, "kayit_no", F.col("sozcuk")), docs.count())
+    stats = retrieval.term_statistics(docs, F.col("sozcuk"), docs.count())
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 

@@ -98,7 +98,7 @@ def html_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
-_HEAD = " OR ".join(f"regexp_matches({sql_lower('x')}, '{p.replace(chr(39), chr(39) * 2)}')" for p in text.HEADER_LINES)
+_HEAD = f"regexp_matches({sql_lower('x')}, '{text.HEADER.replace(chr(39), chr(39) * 2)}')"
 
 
 @query(

@@ -14,11 +14,12 @@ def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-def test_bm25_matches_brute_force(spark):
+@pytest.mark.parametrize("sent", [0, 100])
+def test_bm25_matches_brute_force(spark, sent):
     texts = ["kira artışı kira", "iş sözleşmesi", "kira ve iş", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     asked = spark.createDataFrame([(0, "KİRA kira is"), (1, "yok")], "query_id long, text string")
-    got = retrieval.bm25_top(asked, docs, "id", F.col("t"), 4).collect()
+    got = retrieval.bm25_top(asked, docs, "id", F.col("t"), 4, sent).collect()
     words = [["kira", "artisi", "kira"], ["is", "sozlesmesi"], ["kira", "ve", "is"], [], []]
     df = Counter(w for d in words for w in set(d))
     idf = {w: math.log(5 - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
