@@ -71,6 +71,31 @@ def packs(docs: DataFrame, id_col: str, text: Column, limit: int = 1_500, least:
     return docs.select(id_col, F.explode(numbered).alias("_s")).select(id_col, "_s.parca_no", "_s.parca_adet", "_s.parca")
 
 
+def joined_lines(rows: DataFrame, id_col: str) -> DataFrame:
+    """``id_col, paragraf_no, paragraf``: lines joined to paragraphs. A line goes on where the line
+    before doesn't end a sentence or heading and neither is blank."""
+    order = Window.partitionBy(id_col).orderBy("sira")
+    before = F.lag("satir").over(order)
+    new = before.isNull() | (F.trim(before) == "") | before.rlike(r"[.!?:;…]\s*$") | (F.trim("satir") == "")
+    numbered = rows.withColumn("paragraf_no", F.sum(F.when(new, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    packed_lines = numbered.groupBy(id_col, "paragraf_no").agg(F.array_sort(F.collect_list(F.struct("sira", "satir"))).alias("_l"))
+    out = packed_lines.select(id_col, "paragraf_no", F.trim(F.array_join(F.transform("_l", lambda x: F.trim(x["satir"])), " ")).alias("paragraf"))
+    return out.filter("paragraf <> ''")
+
+
+def clauses(text: Column, limit: int = 220, least: int = 40) -> Column:
+    """Clauses of about ``limit`` characters: a text is cut behind . ; : and white space, parts are packed
+    greedily, and a short last one joins the one before."""
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.;:])\s+"), lambda x: F.trim(x) != "")
+
+    def merged(c: Column) -> Column:
+        n = F.size(c)
+        last = F.concat(F.element_at(c, n - 1), F.lit(" "), F.element_at(c, n))
+        return F.when((n > 1) & (F.length(F.element_at(c, n)) < least), F.concat(F.slice(c, 1, n - 2), F.array(last))).otherwise(c)
+
+    return F.element_at(F.transform(F.array(packed(parts, limit, " ")), merged), 1)
+
+
 def spelling_map(texts: DataFrame, text: str, shortest: int = 3) -> DataFrame:
     """``katli, dogru, n``: the most frequent spelling of each folded word where the two differ; equal
     counts go to the alphabetically first."""

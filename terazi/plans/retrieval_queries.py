@@ -244,3 +244,19 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     """The first names of each kind of law within 4,000 characters; the first overflow ends the kind."""
     rows = table(spark, d, "mevzuat_kaydi").filter("ad is not null").select("tur_adi", "kayit_no", F.length("ad").alias("n"))
     return relational.within_budget(rows, "tur_adi", [F.col("kayit_no")], F.col("n"), 4_000).select("tur_adi", "kayit_no", "toplam")
+
+
+@query(
+    f"""WITH {_VECTORS}, r AS (SELECT query_id, dl, ql, row_number() OVER (PARTITION BY query_id ORDER BY skor DESC, doc_id) AS n FROM s WHERE query_id <> doc_id),
+    f AS (SELECT query_id, min(CASE WHEN dl = ql AND n <= 99 THEN n END) AS ilk FROM r GROUP BY 1), w AS (SELECT unnest([5, 12, 25, 50, 99]) AS pencere)
+    SELECT pencere, count(*) AS soru, coalesce(sum((ilk <= pencere)::INT), 0)::BIGINT AS bulunan FROM f, w GROUP BY 1"""
+)
+def first_stage_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    """How many queries have a vector of their own label within windows of the first stage."""
+    asked, rows = _vectors(spark, d)
+    found = retrieval.nearest(asked, rows.select("doc_id", "vector"), 100).filter("query_id <> doc_id")
+    found = found.join(rows.select("doc_id", F.col("label").alias("dl")), "doc_id").join(asked.select("query_id", F.col("label").alias("ql")), "query_id")
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("skor"), "doc_id"))
+    firsts = found.withColumn("n", n).groupBy("query_id").agg(F.min(F.when((F.col("dl") == F.col("ql")) & (F.col("n") <= 99), F.col("n"))).alias("ilk"))
+    windows = firsts.select("ilk", F.explode(F.array(*[F.lit(w) for w in (5, 12, 25, 50, 99)])).alias("pencere"))
+    return windows.groupBy("pencere").agg(F.count("*").alias("soru"), F.sum(F.when(F.col("ilk") <= F.col("pencere"), 1).otherwise(0)).alias("bulunan"))

@@ -340,3 +340,29 @@ def streamed_spending(spark: SparkSession, d: str) -> DataFrame:
     name = f"gunluk_{uuid.uuid4().hex}"
     done = run_once(daily_spending(stream), name, f"{shared_dir(spark)}/{name}", "complete")
     return done.select(F.col("gun").cast("timestamp_ntz").alias("gun"), "istek", F.round("tutar", 2).alias("tutar"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS yeni FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT user_id, ts, sum(yeni) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(ts) AS bas, max(ts) AS son, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of events of a user without an hour's gap."""
+    from terazi.streaming.flows import sessions
+
+    found = sessions(table(spark, d, "events"), "user_id")
+    return found.select("user_id", F.col("bas").cast("timestamp_ntz").alias("bas"), F.col("son").cast("timestamp_ntz").alias("son"), "n")
+
+
+@query(
+    f"""WITH w AS (SELECT unnest(regexp_extract_all({sql_lower('gerekce')}, '[0-9]{{3,5}}\\s*say[ıi]l[ıi]')) AS a, karar_id FROM karar), c AS (SELECT regexp_extract(a, '^[0-9]+') AS kanun, karar_id FROM w)
+    SELECT kanun, count(*) AS anma, count(DISTINCT karar_id) AS karar FROM c GROUP BY 1"""
+)
+def law_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """How often decisions name each law, and in how many of them."""
+    found = F.explode(F.regexp_extract_all(text.turkish_lower("gerekce"), F.lit(r"[0-9]{3,5}\s*say[ıi]l[ıi]"), F.lit(0)))
+    rows = table(spark, d, "karar").select(found.alias("a"), "karar_id").select(F.regexp_extract("a", "^[0-9]+", 0).alias("kanun"), "karar_id")
+    # Two aggregations instead of a distinct count: no law's decisions have to meet in one task first.
+    each = rows.groupBy("kanun", "karar_id").agg(F.count("*").alias("n"))
+    return each.groupBy("kanun").agg(F.sum("n").alias("anma"), F.count("*").alias("karar"))

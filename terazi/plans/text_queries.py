@@ -332,3 +332,51 @@ def respelled_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents written without Turkish letters, respelled by the map of the articles."""
     ascii_docs = table(spark, d, "documents").select("doc_id", F.translate("text", text.FOLD_FROM, "sSiIIgGuUoOcCaAiIuU").alias("text"))
     return documents.respelled(ascii_docs, "doc_id", "text", documents.spelling_map(table(spark, d, "madde"), "metin"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS satir, generate_subscripts(string_split(text, chr(10)), 1)::INT AS sira FROM documents),
+        b AS (SELECT *, lag(satir) OVER (PARTITION BY doc_id ORDER BY sira) AS o FROM l),
+        p AS (SELECT *, sum(CASE WHEN o IS NULL OR trim(o) = '' OR regexp_matches(o, '[.!?:;…]\\s*$') OR trim(satir) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sira ROWS UNBOUNDED PRECEDING)::INT AS paragraf_no FROM b),
+        g AS (SELECT doc_id, paragraf_no, trim(string_agg(trim(satir), ' ' ORDER BY sira)) AS paragraf FROM p GROUP BY 1, 2)
+    SELECT * FROM g WHERE paragraf <> ''"""
+)
+def joined_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents joined to paragraphs."""
+    return documents.joined_lines(documents.lines(table(spark, d, "documents").filter("text is not null"), "doc_id", "text"), "doc_id")
+
+
+@query()
+def article_clauses(spark: SparkSession, d: str) -> DataFrame:
+    """Clauses of articles, for highlights."""
+    rows = table(spark, d, "madde").select("kayit_no", F.posexplode(documents.clauses(F.col("metin"))).alias("i", "parca"))
+    return rows.select("kayit_no", (F.col("i") + 1).alias("sira"), "parca")
+
+
+@query(
+    f"""WITH l AS (SELECT kayit_no, string_split({_sql_html('metin')}, chr(10))[1:20] AS s FROM karar_kaydi),
+        g AS (SELECT kayit_no, list_filter(list_transform(s, lambda x: regexp_extract(x, '^\\s*Mahkemesi\\s*:\\s*(.*)$', 1)), lambda x: x <> '') AS m, list_filter(list_transform(s, lambda x: regexp_extract(x, '^\\s*TARİHİ\\s*:\\s*(\\d{{2}}/\\d{{2}}/\\d{{4}})', 1)), lambda x: x <> '') AS t FROM l)
+    SELECT kayit_no, coalesce(m[1], '') AS ilk_mahkeme, coalesce(t[1], '') AS ilk_tarih FROM g"""
+)
+def decision_meta(spark: SparkSession, d: str) -> DataFrame:
+    """The first court and date that the first twenty lines of a decision name."""
+
+    def first(lines, pattern):
+        found = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
+        return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+
+    rows = table(spark, d, "karar_kaydi").select("kayit_no", F.slice(F.split(text.html_text("metin"), "\n"), 1, 20).alias("s"))
+    return rows.select("kayit_no", first(F.col("s"), r"^\s*Mahkemesi\s*:\s*(.*)$").alias("ilk_mahkeme"), first(F.col("s"), r"^\s*TARİHİ\s*:\s*(\d{2}/\d{2}/\d{4})").alias("ilk_tarih"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL),
+        k AS (SELECT doc_id, trim(regexp_extract(text, '(?:^|\\n)\\s*KONU\\s*:\\s*([^\\n]*)', 1)) AS k, list_filter(s, lambda x: length(trim(x)) >= 60 AND upper(x) <> x)[1] AS u FROM l)
+    SELECT doc_id, CASE WHEN length(k) >= 20 THEN k ELSE coalesce(trim(u), '') END AS oz FROM k"""
+)
+def petition_essence(spark: SparkSession, d: str) -> DataFrame:
+    """What a document is about: its subject line, else its first long line that isn't in capitals."""
+    rows = table(spark, d, "documents").filter("text is not null")
+    subject = F.trim(F.regexp_extract("text", r"(?:^|\n)\s*KONU\s*:\s*([^\n]*)", 1))
+    long = F.get(F.filter(F.split("text", "\n"), lambda x: (F.length(F.trim(x)) >= 60) & (F.upper(x) != x)), F.lit(0))
+    return rows.select("doc_id", F.when(F.length(subject) >= 20, subject).otherwise(F.coalesce(F.trim(long), F.lit(""))).alias("oz"))

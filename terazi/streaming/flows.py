@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from terazi.sources.sinks import absent_only
 
@@ -42,43 +40,12 @@ def accumulate(stream: DataFrame, path: str, key: str, checkpoint: str) -> Strea
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class ExpiringSessions(StatefulProcessor):
-    """Counts the events of a session; a session without events for ``ttl_ms`` ends and is reported."""
-
-    def __init__(self, ttl_ms: int = 3_600_000):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("oturum", "n long, ilk long, son long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        n, first, last = self.state.get() if self.state.exists() else (0, None, None)
-        for chunk in rows:
-            times = chunk["ts_ms"]
-            n += len(chunk)
-            first = int(times.min()) if first is None else min(first, int(times.min()))
-            last = int(times.max()) if last is None else max(last, int(times.max()))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        self.state.update((n, first, last))
-        self.handle.registerTimer(last + self.ttl_ms)
-        yield pd.DataFrame({"oturum": [], "n": [], "sure_ms": []}).astype({"oturum": "int64", "n": "int64", "sure_ms": "int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        if self.state.exists():
-            n, first, last = self.state.get()
-            self.state.clear()
-            yield pd.DataFrame({"oturum": [key[0]], "n": [n], "sure_ms": [last - first]})
-
-    def close(self) -> None:
-        pass
-
-
-def sessions(events: DataFrame, key: str, ttl_ms: int = 3_600_000, late: str = "1 minute") -> DataFrame:
-    """``oturum, n, sure_ms`` of ended sessions, by event time."""
-    timed = events.select(F.col(key).cast("long").alias("oturum"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts"))
-    return timed.groupBy("oturum").transformWithStateInPandas(ExpiringSessions(ttl_ms), "oturum long, n long, sure_ms long", "append", "eventTime")
+def sessions(events: DataFrame, key: str, gap: str = "1 hour", late: str = "1 minute") -> DataFrame:
+    """``key, bas, son, n``: runs of events of a key with no gap as long as ``gap``. In a stream a
+    session is given out, and its state goes, once the watermark has passed its end."""
+    timed = events.select(F.col(key), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    grouped = timed.groupBy(key, F.session_window("ts", gap).alias("_s")).agg(F.count("*").alias("n"), F.max("ts").alias("son"))
+    return grouped.select(key, F.col("_s.start").alias("bas"), "son", "n")
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

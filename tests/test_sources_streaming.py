@@ -75,3 +75,11 @@ def test_metric_log(spark, tmp_path):
     stream = _stream(spark, tmp_path, [("soru", 0.5)], "soru string, sure double")
     flows.append_metrics(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
+
+
+def test_sessions_end_after_the_gap(spark, tmp_path):
+    t = datetime.datetime
+    rows = [(1, t(2024, 1, 1, 5, 0)), (1, t(2024, 1, 1, 5, 30)), (1, t(2024, 1, 1, 9, 0)), (2, t(2024, 1, 3, 1, 0))]
+    stream = _stream(spark, tmp_path, rows, "oturum long, ts timestamp_ntz")
+    got = flows.run_once(flows.sessions(stream, "oturum"), "oturumlar", str(tmp_path / "cp"))
+    assert sorted((r.oturum, r.bas.hour, r.son.hour, r.n) for r in got.collect()) == [(1, 5, 5, 2), (1, 9, 9, 1)]
