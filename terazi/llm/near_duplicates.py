@@ -154,11 +154,13 @@ def duplicate_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """``id, grup, baglanti``: for every id its group, named by the least id in it, and the number of
     different texts its own texts are linked with. Ids of equal or linked texts share a group."""
     texts = members.select("id", F.hex("key").alias("key"))
-    edges = texts.select(F.concat(F.lit("i"), "id").alias("a"), F.concat(F.lit("k"), "key").alias("b")).unionByName(
-        pairs.select(F.concat(F.lit("k"), F.hex("a")).alias("a"), F.concat(F.lit("k"), F.hex("b")).alias("b"))
-    )
-    # Every group holds an id, and "i..." sorts before "k...": the root is the least id.
-    found = connected_groups(edges).filter(F.col("node").startswith("i")).select(F.expr("substr(node, 2)").alias("id"), F.expr("substr(root, 2)").alias("grup"))
+    # Only linked texts, and the texts of an id with several, need contracting; all others are groups.
+    several = texts.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("_z")).filter("a <> _z")
+    own = texts.join(several.select("id", "a"), "id").select("a", F.col("key").alias("b"))
+    found = connected_groups(pairs.select(F.hex("a").alias("a"), F.hex("b").alias("b")).unionByName(own))
+    rooted = texts.join(found.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("root", "key").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("id").alias("grup"))
+    found = rooted.join(names, "root").select("id", "grup").distinct()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").count()
     links = members.join(ends, "key").groupBy("id").agg(F.sum("count").alias("baglanti"))
     return found.join(links, "id", "left").select("id", "grup", F.coalesce("baglanti", F.lit(0)).cast("long").alias("baglanti"))
