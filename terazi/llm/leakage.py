@@ -30,23 +30,17 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.translate(_LOWER).lower())
 
 
-class _Codes:
+class _Codes(dict):
     """Words as 64-bit numbers, with a bounded memory of the words seen."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        code = self[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
+        return code
 
     def of(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            code = known.get(w)
-            if code is None:
-                code = known[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
-            out[i] = code
-        return out
+        if len(self) > 500_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def _grams(codes: np.ndarray, n: int) -> np.ndarray:
