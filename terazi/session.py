@@ -53,6 +53,17 @@ def written(df: DataFrame, *cluster_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that ``written`` left in the shared folder, once no result reads them any
+    more. Returns how many there were."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/terazi-*")
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(pattern) or []
+    for status in found:
+        fs.delete(status.getPath(), True)
+    return len(found)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
