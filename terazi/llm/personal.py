@@ -7,6 +7,7 @@ be turned back without the key. Names, e-mail and postal addresses get a keyed t
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
@@ -77,7 +78,24 @@ def valid_id(digits: str) -> bool:
     return len(d) == 11 and d[0] != 0 and (7 * sum(d[0:9:2]) - sum(d[1:8:2])) % 10 == d[9] and sum(d[:10]) % 10 == d[10]
 
 
-def _names(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+class _Taken:
+    """Disjoint stretches of a text in order; both questions take logarithmic time."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect.bisect_right(self.starts, a)
+        return not (i and self.ends[i - 1] > a) and not (i < len(self.starts) and self.starts[i] < b)
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect.bisect_right(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
+def _names(text: str, taken: _Taken) -> Iterator[tuple[int, int]]:
     for run in _NAME.finditer(text):
         words = [(m.start() + run.start(), m.group()) for m in re.finditer(r"[^ \xa0]+", run.group())]
         i = 0
@@ -96,7 +114,7 @@ def _names(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]
                 i += 1
                 continue
             end = words[last][0] + len(words[last][1])
-            if not any(a < end and at < b for a, b in taken):
+            if taken.free(at, end):
                 yield at, end
             i = last + 1
 
@@ -104,17 +122,17 @@ def _names(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]
 def find_personal(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of each place, in order and without overlaps; positions from 0."""
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = [m.span() for m in _IBAN.finditer(text)] if "TR" in text else []
-    if "[" in text:
-        taken += [m.span() for m in _PLACEHOLDER.finditer(text)]
-
-    def free(a: int, b: int) -> bool:
-        return not any(x < b and a < y for x, y in taken)
+    taken = _Taken()
+    for pattern in [_IBAN] * ("TR" in text) + [_PLACEHOLDER] * ("[" in text):
+        for m in pattern.finditer(text):
+            if taken.free(*m.span()):
+                taken.add(*m.span())
+    free = taken.free
 
     def add(a: int, b: int, kind: str) -> None:
         if free(a, b):
             found.append((a, b, kind))
-            taken.append((a, b))
+            taken.add(a, b)
 
     if "@" in text or "at]" in text or "at)" in text or "AT]" in text or "AT)" in text:
         for m in _MAIL.finditer(text):

@@ -120,22 +120,31 @@ def seeds_of(codes: np.ndarray, ends: np.ndarray, hasher: _Hasher, min_chars: in
     return start, length, hasher.of(start, start + length)
 
 
-def _batched(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    ids: list = []
-    texts: list[str] = []
-    size = 0
+def _batched(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, offsets, codes and ends of batches of about ``_BATCH_CHARS`` characters.
+
+    A longer text comes in slices that overlap by ``min_chars``: every window lies whole in one of
+    them, and what a window's seeds are depends on the window alone."""
+    ids, offsets, texts, size = [], [], [], 0
+
+    def batch_of() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(ids, np.int64), np.array(offsets, np.int64), *_codes(texts)
+
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if text is None or len(text) < min_chars:
                 continue
-            ids.append(key)
-            texts.append(text)
-            size += len(text)
-            if size >= _BATCH_CHARS:
-                yield ids, *_codes(texts)
-                ids, texts, size = [], [], 0
+            for at in range(0, max(1, len(text) - min_chars + 1), _BATCH_CHARS):
+                piece = text[at : at + _BATCH_CHARS + min_chars]
+                ids.append(key)
+                offsets.append(at)
+                texts.append(piece)
+                size += len(piece)
+                if size >= _BATCH_CHARS:
+                    yield batch_of()
+                    ids, offsets, texts, size = [], [], [], 0
     if ids:
-        yield ids, *_codes(texts)
+        yield batch_of()
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,12 +157,12 @@ def find_seeds(docs: DataFrame, min_chars: int) -> DataFrame:
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
-        for ids, codes, ends in _batched(batches, min_chars):
+        for ids, offsets, codes, ends in _batched(batches, min_chars):
             start, length, h = seeds_of(codes, ends, hasher, min_chars)
             text_of = np.searchsorted(ends, start, side="right")
-            begin = np.concatenate([[0], ends[:-1]])[text_of]
+            begin = np.concatenate([[0], ends[:-1]])[text_of] - offsets[text_of]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(np.array(ids, np.int64)[text_of]), pa.array((start - begin).astype(np.int32)), pa.array(length.astype(np.int32))],
+                [pa.array(h.view(np.int64)), pa.array(ids[text_of]), pa.array((start - begin).astype(np.int32)), pa.array(length.astype(np.int32))],
                 ["h", "d", "pos", "len"],
             )
 

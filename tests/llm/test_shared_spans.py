@@ -76,3 +76,22 @@ def test_share_of_every_document(spark):
 
 def test_empty_table(spark):
     assert ss.shared_stretches(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_slices_of_long_texts(spark, monkeypatch):
+    texts = corpus(random.Random(5), 14)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    whole = sorted(tuple(r) for r in ss.shared_stretches(df).collect())
+    rows = ss.find_seeds(df.selectExpr("doc_id d", "text"), 300).distinct().collect()
+    import pyarrow as pa
+
+    monkeypatch.setattr(ss, "_BATCH_CHARS", 350)
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()))], ["d", "text"])
+    sliced = set()
+    for ids, offsets, codes, ends in ss._batched(iter([batch]), 300):
+        start, length, h = ss.seeds_of(codes, ends, ss._Hasher(), 300)
+        of = [int(x) for x in __import__("numpy").searchsorted(ends, start, side="right")]
+        begins = [0, *ends[:-1]]
+        sliced |= {(int(ids[o]), int(s - begins[o] + offsets[o]), int(n)) for o, s, n in zip(of, start, length, strict=True)}
+    assert {(r.d, r.pos, r.len) for r in rows} <= sliced
+    assert whole
