@@ -27,7 +27,6 @@ SHINGLE, MIN_WORDS, THRESHOLD = 3, 40, 0.6
 _DROPPED = re.compile(r"<(style|script)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
-_LOWER = str.maketrans({"İ": "i", "I": "ı"})
 
 
 def plain_words(text: str) -> list[str]:
@@ -39,7 +38,20 @@ def plain_words(text: str) -> list[str]:
             text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", _DROPPED.sub(" ", text))
-    return _WORD.findall(text.translate(_LOWER).lower())
+    return _WORD.findall(text.replace("İ", "i").replace("I", "ı").lower())
+
+
+class _Codes(dict):
+    """Words as numbers, with a bounded memory of the words seen."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > 500_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -80,19 +92,14 @@ def sketched(texts: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORD
     """``id, key, shingles, bands`` of ``texts`` (``id, text``); ``key`` is a digest of the words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[str, int] = {}
+        codes = _Codes()
         for batch in batches:
             ids, keys, sets, counts = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = plain_words(text)
                 if len(words) < min_words:
                     continue
-                if len(codes) > 500_000:
-                    codes.clear()
-                for w in words:
-                    if w not in codes:
-                        codes[w] = xxhash.xxh64_intdigest(w)
-                h = np.array([codes[w] for w in words], np.uint64)
+                h = codes.of(words)
                 rolled = h[: len(h) - shingle + 1].copy()
                 for i in range(1, shingle):
                     rolled = _mixed(rolled) + h[i : len(h) - shingle + 1 + i] * np.uint64(0x9E3779B97F4A7C15)
