@@ -122,10 +122,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 51
     A block of queries meets a block of vectors as one matrix product and keeps its k best, so
     neither side has to fit a task. Null and zero vectors have no neighbours."""
 
-    def blocks(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    def blocks(df: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame, int]:
         rows = df.filter(F.col("vector").isNotNull()).select(key, "vector")
         n = max(1, -(-rows.count() // size))
-        return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(key, "vector")).alias(f"{name}_rows"))
+        return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(key, "vector")).alias(f"{name}_rows")), n
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,10 +143,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 51
                     out[2] += [float(x) for x in score[i, best]]
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "doc_id", "skor"])
 
-    left, right = blocks(queries, "query_id", block, "q"), blocks(vectors, "doc_id", 4096, "v")
-    met = left.select(F.col("q_rows")).join(right.select(F.col("v_rows")))
-    # Each row is a pair of blocks; they are spread before the products are made.
-    return ranked(met.repartition(F.xxhash64(F.element_at("q_rows", 1)["query_id"], F.element_at("v_rows", 1)["doc_id"])).mapInArrow(product, "query_id long, doc_id long, skor double"), "skor", k)
+    (left, _), (right, n_right) = blocks(queries, "query_id", block, "q"), blocks(vectors, "doc_id", 4096, "v")
+    # Every block of queries goes to every block of vectors by the latter's number.
+    sent = left.select("q_rows", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)).cast("array<bigint>")).alias("v"))
+    met = sent.join(right, "v").select("q_rows", "v_rows")
+    return ranked(met.mapInArrow(product, "query_id long, doc_id long, skor double"), "skor", k)
 
 
 def channel(found: DataFrame, name: str, order: int, weight: float) -> DataFrame:
