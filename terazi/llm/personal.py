@@ -51,7 +51,7 @@ _MAIL = re.compile(
 _PLACEHOLDER = re.compile(r"\[[A-ZÇĞİÖŞÜ]{2,}[ _][^\[\]]{1,80}\]")
 _IBAN = re.compile(r"TR\d{2}(?:[ ]?\d{4}){5}[ ]?\d{2}")
 _PHONE = re.compile(
-    r"(?<![\w+/.,:(-])(?:\+90[ .-]?\(?|90[ .-]\(?|0[ .-]?\(?|\(0)[2-5]\d{2}\)?[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2}(?!\w|[/.,-]\d)"
+    r"(?<![\w+/.,(-])(?:\+90[ .-]?\(?|90[ .-]\(?|0[ .-]?\(?|\(0)[2-5]\d{2}\)?[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2}(?!\w|[/.,-]\d)"
     r"|(?<=\()(?:\+90[ .-]?|90[ .-]|0[ .-]?)[2-5]\d{2}[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2}(?!\w|[/.,-]\d)"
 )
 _ID = re.compile(r"(?<![\w+/.,-])[1-9]\d{2} ?\d{3} ?\d{3} ?\d{2}(?!\w|[/.,-]\d)")

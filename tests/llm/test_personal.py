@@ -12,6 +12,7 @@ CASES = [
     ("Davacı Pınar Şükrü Narzıkan, kimlik numarası 70311993698 ile başvurmuştur.", [("KISI", "Pınar Şükrü Narzıkan"), ("KIMLIK", "70311993698")]),
     ("Davacı vekili Av. MEHMET MURRAKONLU, T.C. 672 317 197 36 ile", [("KISI", "MEHMET MURRAKONLU")]),
     ("Tanık Derya Tarberişli-Veltulgan beyanında 0-570-201-08-15 numaralı hattan", [("KISI", "Derya Tarberişli-Veltulgan"), ("TEL", "0-570-201-08-15")]),
+    ("Tel:0590 493 84 92", [("TEL", "0590 493 84 92")]),
     ("irtibat 0 (590) 907 37 17.", [("TEL", "0 (590) 907 37 17")]),
     ("olarak (0580) 277 5010 ve", [("TEL", "(0580) 277 5010")]),
     ("beyanında +90 255 726 23 27 numaralı", [("TEL", "+90 255 726 23 27")]),
