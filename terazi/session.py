@@ -49,7 +49,7 @@ def written(df: DataFrame, *cluster_by: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/terazi-{uuid.uuid4().hex}"
     if cluster_by:
         df = df.repartition(*cluster_by)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
