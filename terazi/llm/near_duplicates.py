@@ -1,9 +1,10 @@
 """Near-duplicate decisions: ProbMinHash signatures, banding, exact verification and groups.
 
-The weight of a shingle is its number of occurrences. Each shingle sends its signals as a Poisson
-process whose rate is that weight; a register keeps the shingle of its earliest signal, and a
-shingle stops once its next signal is later than every register's. Two registers then agree with the
-probability Jaccard similarity of the weighted sets.
+Each shingle sends its signals as a Poisson process whose rate is its weight; a register keeps the
+shingle of its earliest signal, and a shingle stops once its next signal is later than every
+register's. Two registers then agree with the probability Jaccard similarity of the weighted sets.
+All shingles of a text weigh the same, however often they occur: the similarity of the registers is
+then the Jaccard similarity of the sets, which is what the verification measures.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def sketched(texts: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORD
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for batch in batches:
-            ids, keys, sets, counts = [], [], [], []
+            ids, keys, sets = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = plain_words(text)
                 if len(words) < min_words:
@@ -103,15 +104,13 @@ def sketched(texts: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORD
                 rolled = h[: len(h) - shingle + 1].copy()
                 for i in range(1, shingle):
                     rolled = _mixed(rolled) + h[i : len(h) - shingle + 1 + i] * np.uint64(0x9E3779B97F4A7C15)
-                unique, n = np.unique(_mixed(rolled), return_counts=True)
                 ids.append(key)
                 keys.append(xxhash.xxh128_digest(" ".join(words)))
-                sets.append(unique)
-                counts.append(n)
+                sets.append(np.unique(_mixed(rolled)))
             for i in range(0, len(ids), 64):
-                part, n = sets[i : i + 64], counts[i : i + 64]
+                part = sets[i : i + 64]
                 doc = np.repeat(np.arange(len(part)), [len(x) for x in part])
-                owner = signatures(np.concatenate(part), np.concatenate(n).astype(np.float64), doc, len(part), bands * rows)
+                owner = signatures(np.concatenate(part), np.ones(len(doc)), doc, len(part), bands * rows)
                 flat = np.concatenate([x.astype(np.uint32).view(np.int32) for x in part])
                 yield pa.RecordBatch.from_arrays(
                     [

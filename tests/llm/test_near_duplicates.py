@@ -47,6 +47,18 @@ def test_pairs_match_brute_force(spark):
     assert all(groups[a][0] == groups[b][0] for a, b in got)
 
 
+def test_a_paragraph_repeated_many_times_hides_no_pair(spark):
+    texts = {}
+    for base in range(6):
+        words = [f"kelime{base}x{i}" for i in range(300)]
+        texts[f"a{base}"] = " ".join(words)
+        texts[f"b{base}"] = " ".join(words + words[100:150] * 60)
+    pairs, members = nd.near_duplicates(spark.createDataFrame(list(texts.items()), "id string, text string"))
+    expected = {(f"a{base}", f"b{base}") for base in range(6)}
+    assert _truth(texts) == expected
+    assert {(r.id_a, r.id_b) for r in nd.similar_ids(pairs, members).collect()} == expected
+
+
 def test_empty_table(spark):
     pairs, members = nd.near_duplicates(spark.createDataFrame([], "id string, text string"))
     assert nd.similar_ids(pairs, members).count() == 0
