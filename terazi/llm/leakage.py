@@ -1,8 +1,9 @@
 """Held-out test items inside the training corpus: rare n-gram seeds, then local alignment.
 
-Every n-gram of a test passage is a possible seed; of each stretch of a passage only the n-gram that
-the fewest documents hold is used. Documents with such a seed are aligned with the passage by
-Smith-Waterman over words, which also finds edited and paraphrased copies.
+Every n-gram of a test passage is a seed. Documents that hold one are aligned with the passage by
+Smith-Waterman over words, which also finds edited and paraphrased copies. Where only unbroken
+stretches are sought, the n-gram of each stretch that the fewest documents hold is enough: a document
+with the stretch holds all its n-grams, while an edited copy may lack just that one.
 """
 
 from __future__ import annotations
@@ -126,6 +127,25 @@ def align(passage: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return score, run
 
 
+def _rarest(grams: DataFrame, hits: DataFrame, places: int) -> DataFrame:
+    """``item, part, h``: of each ``places`` neighbouring seeds the one that the fewest documents hold.
+
+    Seeds that no document holds are passed over; all seeds of a leaked stretch are held, so the
+    chosen one is its."""
+    held = hits.groupBy("h").agg(F.countDistinct("d").alias("df"))
+    window = Window.partitionBy("item", "part").orderBy("p").rowsBetween(-(places - 1), 0)
+    whole = Window.partitionBy("item", "part")
+    ranked = grams.join(held, "h", "left").withColumn("r", F.when(F.col("df").isNotNull(), F.struct("df", "h")))
+    return (
+        ranked.withColumn("least", F.min("r").over(window))
+        .withColumn("n", F.count("*").over(whole))
+        .filter((F.col("p") >= places - 1) | (F.col("p") == F.col("n") - 1))
+        .filter("least is not null")
+        .select("item", "part", F.col("least.h").alias("h"))
+        .distinct()
+    )
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -135,48 +155,42 @@ def leaks(
     fields: tuple[str, ...] = ("soru", "dayanak"),
     seed: int = SEED,
     stretch: int = STRETCH,
+    unbroken: bool = False,
+    least: float = 0.0,
 ) -> DataFrame:
-    """``id_col, item_id, alan, kosu, puan`` for each document and passage that share a rare seed:
-    the longest run of common words and the alignment score as a part of the best possible one.
-
-    A passage shorter than ``stretch`` words is sought by its rarest seed as a whole; one shorter than
-    ``seed`` words can't be found. Null and empty texts and passages have no seeds; rows without an
-    id are left out; repeated rows count once; other columns are ignored."""
+    """``id_col, item_id, alan, kosu, puan`` for each document and passage that share a seed: the
+    longest run of common words and the alignment score as a part of the best possible one.
+
+    With ``unbroken`` only the rarest seed of each stretch counts, which leaves out no document with
+    ``stretch`` consecutive words of the passage but may leave out edited copies; a passage shorter
+    than ``stretch`` words is then sought by its rarest seed as a whole. Rows whose common words can't
+    reach a score of ``least`` are left out. A passage shorter than ``seed`` words can't be found.
+    Null and empty texts and passages have no seeds; rows without an id are left out; repeated rows
+    count once; other columns are ignored."""
     passages = written(_passages(items, item_id, list(fields), seed))
     grams = passages.select("item", "part", F.posexplode("seeds").alias("p", "h"))
     distinct = written(grams.select("h").distinct())
     source = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text")).dropna()
     found = _hits(source, distinct, distinct.count(), seed)
     hits = found.select("d", F.explode(F.arrays_zip("h", "pos")).alias("g")).select("d", "g.h", "g.pos")
-    held = hits.groupBy("h").agg(F.countDistinct("d").alias("df"))
-
-    # The rarest seed of each stretch that the corpus holds at all: seeds that start in the last
-    # stretch - seed + 1 places. All seeds of a leaked stretch are held, so the chosen one is its.
-    places = stretch - seed + 1
-    window = Window.partitionBy("item", "part").orderBy("p").rowsBetween(-(places - 1), 0)
-    whole = Window.partitionBy("item", "part")
-    ranked = grams.join(held, "h", "left").withColumn("r", F.when(F.col("df").isNotNull(), F.struct("df", "h")))
-    rare = (
-        ranked.withColumn("least", F.min("r").over(window))
-        .withColumn("n", F.count("*").over(whole))
-        .filter((F.col("p") >= places - 1) | (F.col("p") == F.col("n") - 1))
-        .filter("least is not null")
-        .select("item", "part", F.col("least.h").alias("h"))
-        .distinct()
-    )
-    spots = hits.join(rare, "h").groupBy("d", "item", "part").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    sought = _rarest(grams, hits, stretch - seed + 1) if unbroken else grams.select("item", "part", "h").distinct()
+    spots = hits.join(sought, "h").groupBy("d", "item", "part").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, longest = [], []
+            best, longest, kept = [], [], []
             size, first, last = (batch.column(i).to_numpy() for i in (3, 4, 5))
             for i, (passage, text) in enumerate(zip(batch.column(6), batch.column(7), strict=True)):
                 a, b = passage.values.to_numpy(), text.values.to_numpy()
                 around = 2 * int(size[i])
-                s, r = align(a, b[max(0, first[i] - around) : last[i] + around])
+                b = b[max(0, first[i] - around) : last[i] + around]
+                if least and min(np.isin(a, b).sum(), np.isin(b, a).sum()) < (least - 1e-6) * len(a):
+                    continue
+                s, r = align(a, b)
+                kept.append(i)
                 best.append(round(s / (MATCH * len(a)), 6))
                 longest.append(r)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(longest, pa.int32()), pa.array(best, pa.float64())], ["d", "item", "part", "kosu", "puan"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(kept, pa.int32())) for k in range(3)), pa.array(longest, pa.int32()), pa.array(best, pa.float64())], ["d", "item", "part", "kosu", "puan"])
 
     name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("part") + 1)
     return (
@@ -188,17 +202,17 @@ def leaks(
     )
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _leaks(spark: SparkSession, sf_dir: str, unbroken: bool = False, least: float = 0.0) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return leaks(docs, spark.read.parquet(f"{sf_dir}/olcum_ogesi.parquet").select("item_id", "soru", "dayanak"))
+    return leaks(docs, spark.read.parquet(f"{sf_dir}/olcum_ogesi.parquet").select("item_id", "soru", "dayanak"), unbroken=unbroken, least=least)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least 12 consecutive words of a test item."""
-    return _leaks(spark, sf_dir).filter(F.col("kosu") >= STRETCH).select("doc_id", "item_id").distinct()
+    return _leaks(spark, sf_dir, unbroken=True).filter(F.col("kosu") >= STRETCH).select("doc_id", "item_id").distinct()
 
 
 def p8_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned copies of test items, edited ones included: at least half of the best score."""
-    near = _leaks(spark, sf_dir).filter(F.col("puan") >= 0.5)
+    near = _leaks(spark, sf_dir, least=0.5).filter(F.col("puan") >= 0.5)
     return near.groupBy("doc_id", "item_id").agg(F.max("kosu").alias("kosu"), F.max("puan").alias("puan"))

@@ -60,6 +60,21 @@ def test_edited_copy_scores_high(spark):
     assert got[0].kosu == 8 and got[0].puan > 0.75
 
 
+def test_an_exact_copy_hides_no_edited_one(spark, tmp_path):
+    words = [f"kelime{k}" for k in range(24)]
+    edited = words[:8] + ["başka"] + words[9:16] + words[17:]
+    d = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(words)), (3, " ".join(words[:7]) + " ilgisiz" * 40)], "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(words), None)], "item_id long, soru string, dayanak string")
+    every = {r.doc_id: r.puan for r in leakage.leaks(d, i).collect()}
+    assert set(every) == {1, 2, 3} and every[1] > 0.75 and every[2] == 1 and every[3] < 0.5
+    assert {r.doc_id: r.puan for r in leakage.leaks(d, i, least=0.5).collect()} == {k: every[k] for k in (1, 2)}
+    assert {r.doc_id for r in leakage.leaks(d, i, unbroken=True).filter("kosu >= 12").collect()} == {2}
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    i.write.parquet(f"{tmp_path}/olcum_ogesi.parquet")
+    assert {r.doc_id for r in leakage.p8_edited(spark, str(tmp_path)).collect()} == {1, 2}
+    assert {r.doc_id for r in leakage.p8_found(spark, str(tmp_path)).collect()} == {2}
+
+
 def test_empty_tables(spark):
     d, i = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, soru string, dayanak string")
     assert leakage.leaks(d, i).count() == 0
