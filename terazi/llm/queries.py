@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_masked": personal.p3_masked,
     "p4_found": residue.p4_found,
     "p4_clean": residue.p4_clean,
+    "p4_clean_laws": residue.p4_clean_laws,
     "p5_found": splitting.p5_found,
     "p5_pieces": splitting.p5_pieces,
     "p6_found": homoglyphs.p6_found,

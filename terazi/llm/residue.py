@@ -155,12 +155,16 @@ def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{sf_dir}/madde.parquet"), spark.read.parquet(f"{sf_dir}/mevzuat_kaydi.parquet")
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles, addresses and flags that hold residue instead of content."""
+def _verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The verdicts on articles, judged once and written, and those on the catalogue, which read them."""
     articles, laws = _read(spark, sf_dir)
-    # Judged once; both results below read the verdicts.
     texts = written(judged_articles(articles, laws).drop("metin"))
-    rows = judged_laws(laws, texts)
+    return texts, judged_laws(laws, texts)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles, addresses and flags that hold residue instead of content."""
+    texts, rows = _verdicts(spark, sf_dir)
 
     def named(df: DataFrame, table: str, field: str) -> DataFrame:
         return df.select(F.lit(table).alias("kaynak"), F.lit(field).alias("alan"), "kayit_no")
@@ -173,5 +177,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The articles without residue."""
-    return judged_articles(*_read(spark, sf_dir)).filter("not kalinti").drop("kalinti")
+    """The rows of ``madde``, all columns, without those that p4_found names."""
+    texts, _ = _verdicts(spark, sf_dir)
+    return _read(spark, sf_dir)[0].join(texts.filter("kalinti").select("kayit_no"), "kayit_no", "left_anti")
+
+
+def p4_clean_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``mevzuat_kaydi``, all columns, without those that p4_found names."""
+    _, rows = _verdicts(spark, sf_dir)
+    return _read(spark, sf_dir)[1].join(rows.filter("adres_bos or metinsiz_yanlis").select("kayit_no"), "kayit_no", "left_anti")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terazi.llm import residue as r
+from terazi.llm.queries import QUERIES
 
 RESIDUE = [
     "Access denied. Your request 123 was blocked by the firewall policy.", "Çok fazla istek gönderildi (429). 30 saniye sonra tekrar deneyiniz.", "Tarayıcınız betik çalıştırmayı desteklemiyor ya da kapatılmış; sayfa gösterilemiyor. (3)",
@@ -66,6 +67,19 @@ def test_recurring_responses(spark):
     assert got == set(range(6))
 
 
+def test_both_tables_come_back_whole_without_the_named_rows(spark, tmp_path):
+    laws = _laws(spark, [(1, "Kanun", "1", "5", "https://h.example/a/1.pdf", False), (2, "Kanun", "2", "5", None, False), (3, "Kanun", "3", "5", "#", None), (4, "Kanun", "4", None, "", True)])
+    articles = _articles(spark, [(1, "Kanun", "1", "5", "Ad", "", "null"), (2, "Kanun", "1", "5", "Ad", "", "Bakan yürütür."), (3, "Kanun", "2", "5", "Ad", "", "NaN"), (4, "Kanun", "2", "5", "Ad", "", "{0}"), (5, None, None, None, None, None, None)])
+    laws.write.parquet(f"{tmp_path}/mevzuat_kaydi.parquet")
+    articles.write.parquet(f"{tmp_path}/madde.parquet")
+    named = {(x.kaynak, x.alan, x.kayit_no) for x in r.p4_found(spark, str(tmp_path)).collect()}
+    assert named == {("madde", "metin", k) for k in (1, 3, 4)} | {("mevzuat_kaydi", "pdf_url", 3), ("mevzuat_kaydi", "metinsiz", 2)}
+    for query, table, kept in (("p4_clean", articles, (2, 5)), ("p4_clean_laws", laws, (1, 4))):
+        got = QUERIES[query](spark, str(tmp_path))
+        assert set(got.columns) == set(table.columns)
+        assert sorted(got.select(table.columns).collect()) == sorted(table.filter(F.col("kayit_no").isin(*kept)).collect())
+
+
 def test_empty_tables(spark):
     laws, articles = _laws(spark, []), _articles(spark, [])
     judged = r.judged_articles(articles, laws)
