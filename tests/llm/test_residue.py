@@ -1,5 +1,7 @@
 """Residue and notices against sound provisions that merely speak of them."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,45 @@ def test_recurring_responses(spark):
     assert got == set(range(6))
 
 
+def _without_lists(monkeypatch):
+    monkeypatch.setattr(r, "NOTICES", ())
+    monkeypatch.setattr(r, "FILLERS", ())
+    monkeypatch.setattr(r, "VALUES", "(?!)")
+
+
+def test_notices_are_found_without_any_list(spark, monkeypatch):
+    _without_lists(monkeypatch)
+    laws = _laws(spark, [(i, "Kanun", str(i), "5", f"https://h.example/a/{i}.pdf", False) for i in range(40)])
+    planted = ["Access denied. Your request {} was blocked by the firewall policy.", "Çok fazla istek gönderildi ({}). Sonra tekrar deneyiniz.", "Giriş | Yardım | İletişim\nYükleniyor", "Lütfen bekleyiniz, arama yapılıyor"]
+    rows = [(i, "Kanun", str(i), "5", "Orman İşleri", "Amaç", planted[i % 4].format(i)) for i in range(16)]
+    # Made of the terms of the others, but the only one of its kind.
+    rows += [(20, "Kanun", "20", "5", "Orman İşleri", "Amaç", "Giriş | Arama | İletişim\nLütfen bekleyiniz")]
+    sound = ["Kıyı şeridinde mükellefin ayıp ihbarını usulüne göre değerlendirir no {} {}.", "Ruhsat verilirken kefilin kusur oranını ücretsiz araştırır {} {}."]
+    rows += [(100 + i, "Kanun", str(i), "5", "Orman İşleri", "Amaç", sound[i % 2].format("abcdefghijklmnopqrstuvyz"[i % 24] * 5, "klmnopqrst"[i % 10] * 6)) for i in range(40)]
+    rows += [(200 + i, "Kanun", str(i), "5", "Orman İşleri", "Amaç", "Bu Kanun yayımı tarihinde yürürlüğe girer.") for i in range(20)]
+    judged = r.judged_articles(_articles(spark, rows), laws)
+    assert {x.kayit_no for x in judged.filter("kalinti").collect()} == {*range(16), 20}
+    assert not judged.filter("notice").count() and judged.filter("kalinti and not recurring").count() == 1
+
+
+def test_most_notices_of_the_test_tables_are_found_without_any_list(spark, monkeypatch):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables are not here")
+    articles, laws = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("madde", "mevzuat_kaydi"))
+    whole = {x.kayit_no: x.notice for x in r.judged_articles(articles, laws).filter("kalinti").collect()}
+    _without_lists(monkeypatch)
+    found = {x.kayit_no for x in r.judged_articles(articles, laws).filter("kalinti").collect()}
+    notices = {k for k, notice in whole.items() if notice}
+    assert found <= set(whole) and len(found & notices) >= 0.5 * len(notices)
+
+
+def test_an_address_that_names_the_body_takes_evidence_away(spark):
+    laws = _laws(spark, [(i, "Kanun", str(i), "5", "https://h.example/sulama-rehberi/x.pdf" if i < 6 else None, False) for i in range(12)])
+    rows = [(i, "Kanun", str(i), "5", "Ad", "", "Sulama suyu ücretsiz dağıtılır") for i in range(6)] + [(6 + i, "Kanun", str(6 + i), "5", "Ad", "", "Sunucu yanıt vermedi sonra deneyiniz") for i in range(6)]
+    assert {x.kayit_no for x in r.judged_articles(_articles(spark, rows), laws).filter("kalinti").collect()} == set(range(6, 12))
+
+
 def test_both_tables_come_back_whole_without_the_named_rows(spark, tmp_path):
     laws = _laws(spark, [(1, "Kanun", "1", "5", "https://h.example/a/1.pdf", False), (2, "Kanun", "2", "5", None, False), (3, "Kanun", "3", "5", "#", None), (4, "Kanun", "4", None, "", True)])
     articles = _articles(spark, [(1, "Kanun", "1", "5", "Ad", "", "null"), (2, "Kanun", "1", "5", "Ad", "", "Bakan yürütür."), (3, "Kanun", "2", "5", "Ad", "", "NaN"), (4, "Kanun", "2", "5", "Ad", "", "{0}"), (5, None, None, None, None, None, None)])
