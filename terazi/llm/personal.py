@@ -3,6 +3,10 @@
 Numbers are validated (check digits, labels, dialling forms) and replaced by pseudonyms from a keyed
 Feistel permutation of their own format, so that equal values stay equal across documents and can't
 be turned back without the key. Names, e-mail and postal addresses get a keyed tag instead.
+
+First names are learnt from the collection: the words that open capitalised runs behind roles and
+titles, then the contexts in which these stand, then all words that mostly stand in such contexts. The
+list below is one more source. What is learnt reaches the tasks as a filter of fixed size.
 """
 
 from __future__ import annotations
@@ -12,17 +16,24 @@ import datetime
 import hashlib
 import hmac
 import re
-from collections.abc import Callable, Iterator
+import secrets
+from collections import Counter
+from collections.abc import Callable, Container, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = b"terazi"
+from terazi.session import written
+
+#: The setting that holds the key of the pseudonyms. Without it every run has a key of its own.
+KEY_SETTING = "spark.terazi.personal.key"
 _U, _L = "A-ZÇĞİÖŞÜÂÎÛ", "a-zçğıöşüâîû"
 _CAP = f"[{_U}][{_U}{_L}]+"
 
-#: Common first names (fixed values); a name may also follow one of the roles below.
+#: Common first names (fixed values), a source besides the collection.
 FIRST_NAMES = frozenset(
     """ahmet ali alper arda asuman ayhan aylin ayşe aysel banu barış başak belgin berk betül bülent burak burcu cem cemal cengiz
     ceren cihan çağlar çiğdem damla defne deniz derya didem dilek ebru ece ela elif emel emine emre engin ercan erdem eren erhan
@@ -41,10 +52,17 @@ NOT_NAMES = frozenset(
     sokak sokağı sok sk caddesi cad cd bulvarı blv köyü başkan üye tanık davacı davalı vekili av dr prof doç müteveffa adres tel
     hukuk ceza genel idari vergi dava bölge adliye asliye türk borçlar yargıtay danıştay""".split()
 )
-ROLES = r"(?:[Dd]avacı(?: asil)?|[Dd]avalı(?: asil)?|Av\.|Dr\.|Prof\.|[Tt]anık|[Mm]üteveffa|mirasçısı|[Mm]uhtar|[Kk]âtip|[Mm]ühendis|[Bb]ilirkişi|Hâkim|Başkan|Üye)"
+#: Roles and titles behind which a person is named, lower-cased (fixed values).
+ROLES = frozenset(
+    """davacı davalı asil tanık müteveffa mirasçısı muris muhtar kâtip katip mühendis bilirkişi hâkim hakim başkan üye müvekkil
+    müvekkili sanık müşteki şüpheli mağdur katılan avukat av dr prof doç""".split()
+)
 
 _NAME = re.compile(rf"(?<![\w\[]){_CAP}(?:[ \xa0]{_CAP}(?:-{_CAP})?)+")
-_ROLE_BEFORE = re.compile(rf"{ROLES}\s$")
+_WORD = re.compile(r"[^ \xa0]+")
+_BEFORE = re.compile(r"([^\s<>;]+)[ \xa0]$")
+_AFTER = re.compile(r"[ \xa0,(]+([^\s\d,;()<>]+)")
+_IDENTIFIED = re.compile(r"[ \xa0,(]+(?:T\.C\.|TCKN|[Kk]imlik)")
 _MAIL = re.compile(
     r"[\w.+%-]+(?:\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?)[\w-]+(?:(?:\.|\s?[\[(]\s?(?:nokta|dot)\s?[\])]\s?)[\w-]+)+", re.I
 )
@@ -95,22 +113,34 @@ class _Taken:
         self.ends.insert(i, b)
 
 
-def _names(text: str, taken: _Taken) -> Iterator[tuple[int, int]]:
+def _role(word: str) -> bool:
+    return turkish_lower(word).rstrip(".:") in ROLES
+
+
+def _runs(text: str) -> Iterator[tuple[re.Match, list[tuple[int, str]], str]]:
+    """Runs of capitalised words, each with its words and the word before it."""
     for run in _NAME.finditer(text):
-        words = [(m.start() + run.start(), m.group()) for m in re.finditer(r"[^ \xa0]+", run.group())]
+        before = _BEFORE.search(text, max(0, run.start() - 24), run.start())
+        yield run, [(m.start() + run.start(), m.group()) for m in _WORD.finditer(run.group())], before.group(1) if before else ""
+
+
+def _names(text: str, taken: _Taken, known: Container[str]) -> Iterator[tuple[int, int]]:
+    for run, words, before in _runs(text):
+        identified = _IDENTIFIED.match(text, run.end())
         i = 0
         while i < len(words) - 1:
             at, word = words[i]
-            known = turkish_lower(word) in FIRST_NAMES
-            if not known and not (i == 0 and _ROLE_BEFORE.search(text[max(0, at - 14) : at])):
+            low = turkish_lower(word)
+            told = _role(words[i - 1][1] if i else before) or (identified and i >= len(words) - 3)
+            if low in ROLES or not (told or low in known):
                 i += 1
                 continue
             last = i + 1
-            if turkish_lower(words[last][1]) in FIRST_NAMES and last + 1 < len(words) and turkish_lower(words[last + 1][1]) not in NOT_NAMES:
+            if turkish_lower(words[last][1]) in known and last + 1 < len(words) and turkish_lower(words[last + 1][1]) not in NOT_NAMES:
                 last += 1
             parts = {p for _, w in words[i : last + 1] for p in turkish_lower(w).split("-")}
             after = turkish_lower(words[last + 1][1]) if last + 1 < len(words) else ""
-            if parts & NOT_NAMES or after in NOT_NAMES:
+            if parts & NOT_NAMES or after in NOT_NAMES or turkish_lower(words[i + 1][1]) in ROLES:
                 i += 1
                 continue
             end = words[last][0] + len(words[last][1])
@@ -119,8 +149,13 @@ def _names(text: str, taken: _Taken) -> Iterator[tuple[int, int]]:
             i = last + 1
 
 
-def find_personal(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, type) of each place, in order and without overlaps; positions from 0."""
+_BIRTH = re.compile(r"(?:[Dd]oğum\s+tarihi|[Dd]\.\s?[Tt]\.)\s*:?\s*(\d{1,2})([./])(\d{1,2})\2(\d{4})(?!\d)|(?<!\d)(\d{1,2})([./])(\d{1,2})\6(\d{4})\s+doğumlu", re.I)
+
+
+def find_personal(text: str, known: Container[str] = FIRST_NAMES, births: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, type) of each place, in order and without overlaps; positions from 0.
+
+    ``known`` are first names in lower case; ``births`` adds labelled dates of birth (DOGUM)."""
     found: list[tuple[int, int, str]] = []
     taken = _Taken()
     for pattern in [_IBAN] * ("TR" in text) + [_PLACEHOLDER] * ("[" in text):
@@ -149,7 +184,9 @@ def find_personal(text: str) -> list[tuple[int, int, str]]:
         if free(*m.span()):
             end = _ADDRESS_END.match(text, m.end())
             add(m.start(), end.end() if end and free(m.start(), end.end()) else m.end(), "ADRES")
-    for a, b in _names(text, taken):
+    for m in _BIRTH.finditer(text) if births else ():
+        add(m.start(1 if m.group(1) else 5), m.end(4 if m.group(1) else 8), "DOGUM")
+    for a, b in _names(text, taken, known):
         add(a, b, "KISI")
     return sorted(found)
 
@@ -185,7 +222,7 @@ def feistel_back(value: int, size: int, key: bytes, tweak: bytes, rounds: int =
             return value
 
 
-def pseudonym_id(digits: str, key: bytes = KEY, walk: Callable = feistel) -> str:
+def pseudonym_id(digits: str, key: bytes, walk: Callable = feistel) -> str:
     """Another national id with right check digits."""
     core = walk(int(digits[:9]) - 10**8, 9 * 10**8, key, b"id") + 10**8
     d = [int(c) for c in str(core)]
@@ -194,11 +231,23 @@ def pseudonym_id(digits: str, key: bytes = KEY, walk: Callable = feistel) -> str
     return "".join(map(str, d))
 
 
-def pseudonym_tax(digits: str, key: bytes = KEY, walk: Callable = feistel) -> str:
-    return f"{walk(int(digits), 10**10, key, b'tax'):010d}"
+def tax_check_digit(nine: str) -> int:
+    """The tenth digit of a tax number."""
+    total = 0
+    for i, c in enumerate(nine):
+        shifted = (int(c) + 9 - i) % 10
+        total += shifted and (shifted * 2 ** (9 - i) % 9 or 9)
+    return -total % 10
 
 
-def pseudonym_phone(digits: str, key: bytes = KEY, walk: Callable = feistel) -> str:
+def pseudonym_tax(digits: str, key: bytes, walk: Callable = feistel) -> str:
+    """Another tax number; its check digit is right if the given one's is, and wrong by as much if not."""
+    off = (int(digits[9]) - tax_check_digit(digits[:9])) % 10
+    nine = f"{walk(int(digits[:9]), 10**9, key, b'tax'):09d}"
+    return nine + str((tax_check_digit(nine) + off) % 10)
+
+
+def pseudonym_phone(digits: str, key: bytes, walk: Callable = feistel) -> str:
     """The subscriber number is permuted; country and area stay."""
     return digits[:-7] + f"{walk(int(digits[-7:]), 10**7, key, b'tel' + digits[-10:-7].encode()):07d}"
 
@@ -206,7 +255,7 @@ def pseudonym_phone(digits: str, key: bytes = KEY, walk: Callable = feistel) ->
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1), 73_049  # to 31.12.2099
 
 
-def pseudonym_date(day: datetime.date, key: bytes = KEY, walk: Callable = feistel) -> datetime.date:
+def pseudonym_date(day: datetime.date, key: bytes, walk: Callable = feistel) -> datetime.date:
     """Another day of 1900 to 2099; days outside stay as they are."""
     n = (day - _FIRST_DAY).days
     if not 0 <= n < _DAYS:
@@ -219,39 +268,143 @@ def _digits_into(shape: str, digits: str) -> str:
     return "".join(next(left) if c.isdigit() else c for c in shape)
 
 
-def placeholder(value: str, kind: str, key: bytes = KEY) -> str:
-    """``[KIMLIK 123 456 789 01]`` for numbers, ``[KISI 3f9c2a1b]`` for the rest."""
+def _plain_mail(value: str) -> str:
+    """An address however it is spelled: ``ali [at] x [nokta] com`` is ``ali@x.com``."""
+    mail = re.sub(r"\s?[\[(]\s?at\s?[\])]\s?", "@", turkish_lower(value).replace("ı", "i"))
+    return re.sub(r"\s+", "", re.sub(r"\s?[\[(]\s?(?:nokta|dot)\s?[\])]\s?", ".", mail))
+
+
+def placeholder(value: str, kind: str, key: bytes) -> str:
+    """``[KIMLIK 123 456 789 01]`` for numbers and dates, ``[KISI 3f9c2a1b]`` for the rest. Equal values
+    get equal placeholders however they are spaced, cased or written out; a date that doesn't exist
+    gets a tag."""
     if kind in ("KIMLIK", "TEL"):
         digits = "".join(c for c in value if c.isdigit())
         change = pseudonym_phone if kind == "TEL" else pseudonym_id if len(digits) == 11 else pseudonym_tax
         return f"[{kind} {_digits_into(value, change(digits, key))}]"
-    same = " ".join(turkish_lower(value).split())
+    if kind == "DOGUM":
+        day, month, year = (int(x) for x in re.split(r"[./]", value))
+        try:
+            other = pseudonym_date(datetime.date(year, month, day), key)
+            return f"[{kind} {other:%d}{'/' if '/' in value else '.'}{other:%m}{'/' if '/' in value else '.'}{other.year:04d}]"
+        except ValueError:
+            pass
+    same = _plain_mail(value) if kind == "EPOSTA" else " ".join(turkish_lower(value).split())
     return f"[{kind} {hmac.new(key, f'{kind}|{same}'.encode(), hashlib.sha256).hexdigest()[:8]}]"
 
 
-def mask(text: str, key: bytes = KEY) -> str:
+def mask(text: str, key: bytes, known: Container[str] = FIRST_NAMES) -> str:
     """The text with a typed placeholder for each place, all else unchanged."""
     out, at = [], 0
-    for a, b, kind in find_personal(text):
+    for a, b, kind in find_personal(text, known, births=True):
         out += [text[at:a], placeholder(text[a:b], kind, key)]
         at = b
     return "".join([*out, text[at:]])
 
 
+# Names learnt from the collection ---------------------------------------------------------------
+
+#: How often a word has to stand in contexts of names, and which part of its capitalised runs.
+LEAST, PART = 3, 0.3
+#: How often a context has to occur, and which part of it has to be names.
+CONTEXT_LEAST, CONTEXT_PART = 50, 0.9
+#: Cells of the filter that carries the names to the tasks: at most so many bits, whatever the collection.
+CELLS = 1 << 21
+
+
+class Names:
+    """First names: the list, and a Bloom filter of what was learnt."""
+
+    def __init__(self, cells: np.ndarray, listed: frozenset[str] = FIRST_NAMES):
+        bits = np.zeros(CELLS, bool)
+        bits[cells] = True
+        self.bits, self.listed, self.seen = np.packbits(bits), listed, {}
+
+    def __contains__(self, word: str) -> bool:
+        found = self.seen.get(word)
+        if found is None:
+            h = xxhash.xxh64_intdigest(word, 42)  # what Spark's xxhash64 gives
+            found = word in self.listed or all(self.bits[c >> 3] >> (7 - (c & 7)) & 1 for c in ((h >> k) & (CELLS - 1) for k in (0, 21, 42)))
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[word] = found
+        return found
+
+
+def name_candidates(texts: DataFrame) -> DataFrame:
+    """``w, l, r, bad, n``: words that open a capitalised run, or follow a role in one, with the words
+    around; ``bad`` where the run holds what no person's name does."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            rows = list(held)
+            out = pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in rows], pa.string()) for i in range(3)), pa.array([x[3] for x in rows], pa.bool_()), pa.array(list(held.values()), pa.int64())], ["w", "l", "r", "bad", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for run, words, before in _runs(text):
+                    low = [turkish_lower(w) for _, w in words]
+                    after = _AFTER.match(text, run.end())
+                    for i in range(len(low) - 1):
+                        if low[i] in ROLES or low[i] in NOT_NAMES or (i and low[i - 1] not in ROLES):
+                            continue
+                        rest = low[i + 1 :]
+                        held[low[i], low[i - 1] if i else turkish_lower(before).rstrip(".:"), turkish_lower(after.group(1)) if after else "", len(rest) > 3 or not NOT_NAMES.isdisjoint(rest)] += 1
+            if len(held) > 100_000:
+                yield flush()
+        yield flush()
+
+    return texts.select("text").filter("text is not null").mapInArrow(scan, "w string, l string, r string, bad boolean, n long").groupBy("w", "l", "r", "bad").agg(F.sum("n").alias("n"))
+
+
+def learnt_names(candidates: DataFrame, listed: frozenset[str] = FIRST_NAMES) -> DataFrame:
+    """``w``: first names by the contexts they stand in. Roles and the list give the first names, these
+    give contexts, and the contexts give all names. Everything is counted by joins and sums."""
+    role = F.col("l").isin(*sorted(ROLES))
+    sound = F.when(F.col("bad"), 0).otherwise(F.col("n"))
+
+    def names(rows: DataFrame, told: Column) -> DataFrame:
+        sums = rows.groupBy("w").agg(F.sum(F.when(told, sound).otherwise(0)).alias("p"), F.sum("n").alias("a"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"))
+        return sums.filter((F.col("p") >= LEAST) & (F.col("p") >= PART * F.col("a")) & (F.col("b") * 10 <= F.col("a"))).select("w")
+
+    first = names(candidates, role)
+    known = candidates.join(first.withColumn("_k", F.lit(True)), "w", "left").withColumn("_k", F.coalesce("_k", F.lit(False)) | F.col("w").isin(*sorted(listed)))
+
+    def contexts(side: str) -> DataFrame:
+        sums = known.filter(F.col(side) != "").groupBy(side).agg(F.sum(F.when(F.col("_k"), sound).otherwise(0)).alias("p"), F.sum("n").alias("a"))
+        return sums.filter((F.col("a") >= CONTEXT_LEAST) & (F.col("p") >= CONTEXT_PART * F.col("a"))).select(side)
+
+    rows = candidates.join(contexts("l").withColumn("_l", F.lit(True)), "l", "left").join(contexts("r").withColumn("_r", F.lit(True)), "r", "left")
+    return names(rows, F.coalesce("_l", F.lit(False)) | F.coalesce("_r", F.lit(False)) | role).unionByName(first).distinct()
+
+
+def known_names(texts: DataFrame, listed: frozenset[str] = FIRST_NAMES) -> Names:
+    """The names learnt from all ``texts`` (``text``). At most ``CELLS`` numbers come to the driver."""
+    h = F.xxhash64("w")
+    cells = F.explode(F.array(*[F.shiftrightunsigned(h, k).bitwiseAND(F.lit(CELLS - 1)).cast("int") for k in (0, 21, 42)])).alias("c")
+    learnt = learnt_names(written(name_candidates(texts)), listed).select(cells).distinct()
+    return Names(learnt.toArrow()["c"].to_numpy(), listed)
+
+
 # Spark ------------------------------------------------------------------------------------------
 
 
-def personal_places(texts: DataFrame) -> DataFrame:
+def personal_places(texts: DataFrame, known: Container[str] = FIRST_NAMES) -> DataFrame:
     """``kaynak, belge_id, tur, bas`` of ``texts`` (``kaynak, belge_id, text``), each place once.
 
     Null and empty texts hold none; rows that repeat a document count once; a document with two
     different texts has the places of both; other columns are ignored."""
+    names = texts.sparkSession.sparkContext.broadcast(known)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for source, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for a, _, kind in find_personal(text):
+                for a, _, kind in find_personal(text, names.value):
                     for k, v in enumerate((source, key, kind, a + 1)):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.string()) for v in out[:3]), pa.array(out[3], pa.int32())], ["kaynak", "belge_id", "tur", "bas"])
@@ -260,12 +413,21 @@ def personal_places(texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, "kaynak string, belge_id string, tur string, bas int").distinct()
 
 
-def masked_texts(texts: DataFrame, key: bytes = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key of ``KEY_SETTING``; a random one for this call where it is unset, so that nobody can turn
+    its pseudonyms back and values are linked within the result only."""
+    known = spark.conf.get(KEY_SETTING, None)
+    return known.encode() if known else secrets.token_bytes(32)
+
+
+def masked_texts(texts: DataFrame, key: bytes | None = None, known: Container[str] = FIRST_NAMES) -> DataFrame:
     """``kaynak, belge_id, maskeli``; null texts stay null."""
+    key = session_key(texts.sparkSession) if key is None else key
+    names = texts.sparkSession.sparkContext.broadcast(known)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [None if t is None else mask(t, key) for t in batch.column(2).to_pylist()]
+            done = [None if t is None else mask(t, key, names.value) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.string())], ["kaynak", "belge_id", "maskeli"])
 
     rows = texts.select("kaynak", F.col("belge_id").cast("string"), F.col("text").cast("string"))
@@ -285,9 +447,11 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of personal data in the decisions of both courts."""
-    return personal_places(decisions(spark, sf_dir))
+    texts = written(decisions(spark, sf_dir))
+    return personal_places(texts, known_names(texts))
 
 
 def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decisions with typed placeholders."""
-    return masked_texts(decisions(spark, sf_dir))
+    texts = written(decisions(spark, sf_dir))
+    return masked_texts(texts, known=known_names(texts))

@@ -1,6 +1,8 @@
 """Personal data: places by type, traps, placeholders and pseudonyms."""
 
 import datetime
+import os
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +10,8 @@ from hypothesis import strategies as st
 
 from terazi.llm import personal as p
 
+KEY = b"a key of the tests"
+
 CASES = [
     ("Davacı Pınar Şükrü Narzıkan, kimlik numarası 70311993698 ile başvurmuştur.", [("KISI", "Pınar Şükrü Narzıkan"), ("KIMLIK", "70311993698")]),
     ("Davacı vekili Av. MEHMET MURRAKONLU, T.C. 672 317 197 36 ile", [("KISI", "MEHMET MURRAKONLU")]),
@@ -51,17 +55,18 @@ def test_traps(text):
 
 def test_mask_changes_nothing_else():
     text = "<p>Tanık Kerem Kerpındıran beyanında 0570.784.70.56 numaralı.</p>"
-    masked = p.mask(text)
+    masked = p.mask(text, KEY)
     assert masked.startswith("<p>Tanık [KISI ") and masked.endswith(" numaralı.</p>") and "[TEL 0570." in masked
     assert p.find_personal(masked) == []
-    assert p.mask(masked) == masked
+    assert p.mask(masked, KEY) == masked
 
 
 def test_equal_values_stay_linked():
-    assert p.placeholder("KEREM KERPINDIRAN", "KISI") == p.placeholder("Kerem Kerpındıran", "KISI")
-    a, b = p.placeholder("0570 784 70 56", "TEL"), p.placeholder("0570.784.70.56", "TEL")
+    assert p.placeholder("KEREM KERPINDIRAN", "KISI", KEY) == p.placeholder("Kerem Kerpındıran", "KISI", KEY)
+    a, b = p.placeholder("0570 784 70 56", "TEL", KEY), p.placeholder("0570.784.70.56", "TEL", KEY)
     digits = lambda s: [c for c in s if c.isdigit()]
-    assert digits(a) == digits(b) and p.placeholder("0570 784 70 57", "TEL") != a
+    assert digits(a) == digits(b) and p.placeholder("0570 784 70 57", "TEL", KEY) != a
+    assert len({p.placeholder(m, "EPOSTA", KEY) for m in ("ali@x.com", "ALİ @ x.com", "ali [at] x [nokta] com", "ali(at)x.com")}) == 1
 
 
 @settings(max_examples=60, deadline=None)
@@ -77,13 +82,68 @@ def test_feistel_covers_a_small_range():
 
 
 def test_pseudonyms_keep_their_format():
-    other = p.pseudonym_id("10000000146")
+    other = p.pseudonym_id("10000000146", KEY)
     assert p.valid_id(other) and other != "10000000146" and p.pseudonym_id("10000000146", b"another") != other
-    assert len(p.pseudonym_tax("0000000001")) == 10
-    assert p.pseudonym_phone("05707847056").startswith("0570")
+    for tax in ("0000000001", "1234567890", "8258022573"):
+        off = int(tax[9]) - p.tax_check_digit(tax[:9])
+        changed = p.pseudonym_tax(tax, KEY)
+        assert len(changed) == 10 and (int(changed[9]) - p.tax_check_digit(changed[:9]) - off) % 10 == 0 and changed != tax
+    assert p.pseudonym_phone("05707847056", KEY).startswith("0570")
     day = datetime.date(1980, 2, 29)
-    assert p.pseudonym_date(p.pseudonym_date(day), walk=p.feistel_back) == day
-    assert p.pseudonym_date(datetime.date(1800, 1, 1)) == datetime.date(1800, 1, 1)
+    assert p.pseudonym_date(p.pseudonym_date(day, KEY), KEY, p.feistel_back) == day
+    assert p.pseudonym_date(datetime.date(1800, 1, 1), KEY) == datetime.date(1800, 1, 1)
+
+
+def test_known_check_digit():
+    # The worked example of the tax office's rule.
+    assert p.tax_check_digit("123456789") == 0
+
+
+def test_dates_of_birth_are_masked_in_their_format():
+    text = "Doğum tarihi: 12.05.1980 olan tanık 03/11/2001 doğumlu kardeşi ve 01.02.2020 tarihli karar, d.t. 31.02.1980"
+    assert [k for *_, k in p.find_personal(text, births=True)] == ["DOGUM"] * 3 and p.find_personal(text) == []
+    masked = p.mask(text, KEY)
+    assert re.fullmatch(r"Doğum tarihi: \[DOGUM \d{2}\.\d{2}\.\d{4}\] olan tanık \[DOGUM \d{2}/\d{2}/\d{4}\] doğumlu kardeşi ve 01\.02\.2020 tarihli karar, d\.t\. \[DOGUM [0-9a-f]{8}\]", masked)
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [("Tanık Yağız Bozkurt dinlendi", "Yağız Bozkurt"), ("Müvekkil Ekrem Aydoğan geldi", "Ekrem Aydoğan"), ("TANIK POYRAZ AKTÜRK dinlendi", "POYRAZ AKTÜRK"), ("dosyada Nisa Karaca, T.C. kimlik no verilmeden", "Nisa Karaca"), ("Başkan Yağız Bozkurt\nÜye", "Yağız Bozkurt")],
+)
+def test_names_outside_the_list_by_their_place(text, name):
+    assert [text[a:b] for a, b, k in p.find_personal(text, frozenset()) if k == "KISI"] == [name]
+
+
+def test_names_are_learnt_from_the_collection(spark):
+    unlisted = ("Yağız", "Nisa", "Poyraz", "Ekrem")
+    rows = [(f"Tanık {n} Soyad{'abcdefgh'[i]}lı beyanında geldi. Sonra {n} Başkaca{'abcdefgh'[i]}n da geldi.",) for n in unlisted for i in range(6)]
+    rows += [("Davacı Ankara Belediyesi geldi. Ankara Bölge Adliye Mahkemesi karar verdi. İzmir Limanı doldu.",)] * 9 + [(None,), ("",)]
+    texts = spark.createDataFrame(rows, "text string")
+    known = p.known_names(texts, frozenset())
+    assert all(p.turkish_lower(n) in known for n in unlisted) and not any(w in known for w in ("ankara", "izmir", "tanık", "davacı"))
+    free = "Oraya Nisa Karaca ve Poyraz Aktürk geldi, İzmir Limanı açıldı"
+    assert [free[a:b] for a, b, _ in p.find_personal(free, known)] == ["Nisa Karaca", "Poyraz Aktürk"]
+    assert "yağız" not in p.known_names(texts.limit(0), frozenset())
+
+
+def test_recall_of_names_held_out_of_the_list(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables are not here")
+    texts = p.decisions(spark, folder)
+    whole = {tuple(x) for x in p.personal_places(texts).collect()}
+    half = frozenset(n for n in p.FIRST_NAMES if sum(n.encode()) % 2)
+    found = {tuple(x) for x in p.personal_places(texts, p.known_names(texts, half)).collect()}
+    assert len(found & whole) >= 0.98 * len(whole) and len(found - whole) <= 0.01 * len(whole)
+
+
+def test_key_of_the_session(spark):
+    assert p.session_key(spark) != p.session_key(spark)
+    spark.conf.set(p.KEY_SETTING, "ours")
+    try:
+        assert p.session_key(spark) == b"ours"
+    finally:
+        spark.conf.unset(p.KEY_SETTING)
 
 
 def test_rows(spark):
