@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terazi.llm.words import Codes, mixed, words_of
 from terazi.operators.pairs import connected_groups, pairs_within
 from terazi.session import written
 
@@ -27,7 +28,6 @@ BANDS, ROWS = 48, 4
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 40, 0.6
 _DROPPED = re.compile(r"<(style|script)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
-_WORD = re.compile(r"[^\W_]+")
 
 
 def plain_words(text: str) -> list[str]:
@@ -39,26 +39,7 @@ def plain_words(text: str) -> list[str]:
             text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", _DROPPED.sub(" ", text))
-    return _WORD.findall(text.replace("İ", "i").replace("I", "ı").lower())
-
-
-class _Codes(dict):
-    """Words as numbers, with a bounded memory of the words seen."""
-
-    def __missing__(self, word: str) -> int:
-        code = self[word] = xxhash.xxh64_intdigest(word)
-        return code
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > 500_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    return words_of(text)
 
 
 def signatures(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -69,11 +50,11 @@ def signatures(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, n_docs:
     time, turn = np.zeros(len(element)), 0
     while len(element):
         turn += 1
-        signal = _mixed(element + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        signal = mixed(element + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         time = time - np.log1p(-((signal >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / weight
         alive = time < latest[doc]
         element, weight, doc, time, signal = (x[alive] for x in (element, weight, doc, time, signal))
-        register = doc * m + (_mixed(signal ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(m)).astype(np.int64)
+        register = doc * m + (mixed(signal ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(m)).astype(np.int64)
         np.minimum.at(earliest, register, time)
         won = earliest[register] == time
         owner[register[won]] = element[won]
@@ -85,7 +66,7 @@ def _band_keys(owner: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = owner.reshape(len(owner), bands, rows)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts.shape[:2])
     for i in range(rows):
-        key = _mixed(key ^ parts[:, :, i]) * np.uint64(0xD6E8FEB86659FD93)
+        key = mixed(key ^ parts[:, :, i]) * np.uint64(0xD6E8FEB86659FD93)
     return key
 
 
@@ -93,7 +74,7 @@ def sketched(texts: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORD
     """``id, key, shingles, bands`` of ``texts`` (``id, text``); ``key`` is a digest of the words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
+        codes = Codes()
         for batch in batches:
             ids, keys, sets = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -103,10 +84,10 @@ def sketched(texts: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORD
                 h = codes.of(words)
                 rolled = h[: len(h) - shingle + 1].copy()
                 for i in range(1, shingle):
-                    rolled = _mixed(rolled) + h[i : len(h) - shingle + 1 + i] * np.uint64(0x9E3779B97F4A7C15)
+                    rolled = mixed(rolled) + h[i : len(h) - shingle + 1 + i] * np.uint64(0x9E3779B97F4A7C15)
                 ids.append(key)
                 keys.append(xxhash.xxh128_digest(" ".join(words)))
-                sets.append(np.unique(_mixed(rolled)))
+                sets.append(np.unique(mixed(rolled)))
             for i in range(0, len(ids), 64):
                 part = sets[i : i + 64]
                 doc = np.repeat(np.arange(len(part)), [len(x) for x in part])

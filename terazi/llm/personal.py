@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terazi.llm.words import turkish_lower
 from terazi.session import written
 
 #: The setting that holds the key of the pseudonyms. Without it every run has a key of its own.
@@ -86,10 +87,6 @@ _ADDRESS_END = re.compile(
 )
 
 
-def turkish_lower(s: str) -> str:
-    return s.replace("İ", "i").replace("I", "ı").lower()
-
-
 def valid_id(digits: str) -> bool:
     """Check digits of the 11-digit national id."""
     d = [int(c) for c in digits]

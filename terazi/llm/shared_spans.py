@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terazi.llm.words import mixed
 from terazi.session import written
 
 #: Sentences in a hashed run; characters of a gram that stands in for one.
@@ -34,14 +35,6 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def _sliding(a: np.ndarray, w: int, pick: np.ufunc, fill: int) -> np.ndarray:
     """pick over each of the len(a) - w + 1 windows of w values (block prefixes and suffixes)."""
     n = len(a)
@@ -72,11 +65,11 @@ class _Hasher:
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         length = (end - start).astype(np.uint64)
-        return _mixed(((self.sums[end] - self.sums[start]) * self.down[start]) ^ (length * np.uint64(0xD6E8FEB86659FD93)))
+        return mixed(((self.sums[end] - self.sums[start]) * self.down[start]) ^ (length * np.uint64(0xD6E8FEB86659FD93)))
 
     def grams(self, k: int) -> np.ndarray:
         n = len(self.sums) - 1
-        return _mixed((self.sums[k:] - self.sums[:-k]) * self.down[: n - k + 1])
+        return mixed((self.sums[k:] - self.sums[:-k]) * self.down[: n - k + 1])
 
 
 def seeds_of(codes: np.ndarray, ends: np.ndarray, hasher: _Hasher, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """Leaked test items against a scan of all twelve-word stretches."""
 
+import os
 import random
 
 import numpy as np
@@ -40,9 +41,9 @@ def _truth(docs, items):
     return out
 
 
-@pytest.mark.parametrize("sent", [2_000_000, 0])
-def test_found_matches_brute_force(spark, monkeypatch, sent):
-    monkeypatch.setattr(leakage, "BROADCAST_SEEDS", sent)
+@pytest.mark.parametrize("cells", [1 << 22, 8])
+def test_found_matches_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(leakage, "CELLS", cells)
     docs, items = _data()
     d = spark.createDataFrame([(*x, 1) for x in docs] + [(docs[0][0], docs[0][1], 2), (90, None, 1), (91, "", 1), (None, docs[1][1], 1)], "doc_id long, text string, item long")
     i = spark.createDataFrame([(*x, "k") for x in items], "item_id long, soru string, dayanak string, words string")
@@ -75,6 +76,35 @@ def test_an_exact_copy_hides_no_edited_one(spark, tmp_path):
     assert {r.doc_id for r in leakage.p8_found(spark, str(tmp_path)).collect()} == {2}
 
 
+@pytest.mark.parametrize(("rate", "least"), [(0.05, 0.99), (0.1, 0.98), (0.2, 0.9), (0.3, 0.6)])
+def test_recall_of_edited_copies(spark, rate, least):
+    """Passages of the test tables with words replaced, dropped and added, amid other text."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("the test tables are not here")
+    rng = random.Random(int(rate * 100))
+    items = spark.read.parquet("/root/testdata/sf0.01/olcum_ogesi.parquet").select("item_id", "soru", "dayanak")
+    rows, truth = [], set()
+    for r in items.collect():
+        for passage in filter(None, (r.soru, r.dayanak)):
+            edited = []
+            for w in leakage.words_of(passage):
+                change = rng.random()
+                edited += [] if change < rate / 4 else [w, "eklenen"] if change < rate / 2 else [f"başka{rng.randint(0, 99)}"] if change < rate else [w]
+            truth.add((len(rows), r.item_id))
+            rows.append((len(rows), " ".join(["önce"] * 30 + edited + ["sonra"] * 30)))
+    got = {(r.doc_id, r.item_id) for r in leakage.edited_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    recall = len(truth & got) / len(truth)
+    print("recall at", rate, recall)
+    assert recall >= least
+
+
+def test_texts_of_one_id_count_each(spark):
+    words = [f"kelime{k}" for k in range(24)]
+    d = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(words)), (1, " ".join(words[:13]))], "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(words), None)], "item_id long, soru string, dayanak string")
+    assert [(r.kosu, r.puan) for r in leakage.leaks(d, i).collect()] == [(24, 1.0)]
+
+
 def test_empty_tables(spark):
     d, i = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, soru string, dayanak string")
     assert leakage.leaks(d, i).count() == 0
