@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_edited": leakage.p8_edited,
     "p9_found": shared_spans.p9_found,
     "p9_share": shared_spans.p9_share,
+    "p9_kept": shared_spans.p9_kept,
 }
 #: The plain definitions of TESTDATA.md in SQL, for tables small enough for all windows and shingles.
 _LOWER = "lower(translate({}, 'İI', 'iı'))"

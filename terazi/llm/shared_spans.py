@@ -4,11 +4,13 @@ Every run of two consecutive sentences is hashed and joined over the whole corpu
 ``min_chars`` need not hold a complete run (long sentences, cuts inside a sentence); where it
 doesn't, the least hashed gram of the stretch stands in for one, so that any shared stretch has a
 common seed. The matched seeds are then extended to exact borders, character by character, against
-the other documents with the same seed.
+the other documents with the same seed. From the spans follow the shared parts of every document and
+the texts without the sentences that an earlier document holds too.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ _BATCH_CHARS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ENDS = np.array([ord(c) for c in ".!?…"], np.uint32)
+_SENTENCE = re.compile(r".+?(?:(?<=[.!?…])\s+|\n|$)|\n", re.S)
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -177,25 +180,26 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def _extended(classes: DataFrame, min_chars: int) -> DataFrame:
-    """``h, ctx, l, r``: how far a seed's surroundings agree with those in another document."""
+def _extended(classes: DataFrame, min_chars: int, earlier: bool) -> DataFrame:
+    """``h, ctx, l, r, first``: how far a seed's surroundings agree with those in another document, and
+    the least document with which they do. With ``earlier`` only documents before count."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
 
         def close() -> None:
             for i, (h, ctx, size, left, right, lo, hi) in enumerate(group):
-                if lo != hi:
-                    best = {(len(left), len(right))}
-                else:
-                    best = set()
+                best: dict[tuple[int, int], int] = {(len(left), len(right)): lo} if lo != hi else {}
+                # All documents of a class but its first have the whole surroundings before them.
+                if earlier or lo == hi:
                     for j, (_, _, _, left2, right2, lo2, hi2) in enumerate(group):
-                        if i != j and not lo == hi == lo2 == hi2:
-                            best.add((_common(left, left2), _common(right, right2)))
-                for a, b in best:
+                        if i != j and (lo2 < lo if earlier else not lo == hi == lo2 == hi2):
+                            both = _common(left, left2), _common(right, right2)
+                            best[both] = min(best.get(both, lo2), lo2)
+                for (a, b), first in best.items():
                     if a + size + b >= min_chars:
-                        for k, v in enumerate((h, ctx, a, b)):
+                        for k, v in enumerate((h, ctx, a, b, first)):
                             out[k].append(v)
             group.clear()
 
@@ -206,16 +210,16 @@ def _extended(classes: DataFrame, min_chars: int) -> DataFrame:
                 group.append(row)
             if len(out[0]) > 20_000:
                 yield _arrow(out)
-                out = [[], [], [], []]
+                out = [[], [], [], [], []]
         close()
         yield _arrow(out)
 
     def _arrow(out: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["h", "ctx", "l", "r"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["h", "ctx", "l", "r", "first"])
 
     columns = ["h", "ctx", "len", "left", "right", "lo", "hi"]
-    return classes.select(*columns).repartition("h").sortWithinPartitions("h").mapInArrow(extend, "h long, ctx long, l int, r int")
+    return classes.select(*columns).repartition("h").sortWithinPartitions("h").mapInArrow(extend, "h long, ctx long, l int, r int, first long")
 
 
 def _windowed(classes: DataFrame, min_chars: int) -> DataFrame:
@@ -227,17 +231,26 @@ def _windowed(classes: DataFrame, min_chars: int) -> DataFrame:
     )
     at = (F.length("left") - F.col("l") + 1).cast("int")
     hashed = windows.select("h", "ctx", "len", "lo", "hi", "l", F.xxhash64(F.substring(text, at, F.lit(min_chars)), "l").alias("w"))
-    shared = hashed.groupBy("h", "w").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).filter("_lo < _hi").select("h", "w")
-    return hashed.join(shared, ["h", "w"], "left_semi").select("h", "ctx", "l", (F.lit(min_chars) - F.col("len") - F.col("l")).cast("int").alias("r"))
+    shared = hashed.groupBy("h", "w").agg(F.min("lo").alias("first"), F.max("hi").alias("_hi")).filter("first < _hi").select("h", "w", "first")
+    return hashed.join(shared, ["h", "w"]).select("h", "ctx", "l", (F.lit(min_chars) - F.col("len") - F.col("l")).cast("int").alias("r"), "first")
 
 
-def shared_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 300) -> DataFrame:
-    """``id_col, bas, uzunluk``: the maximal runs of positions that lie in a stretch of at least
-    ``min_chars`` characters found verbatim in another document. Positions start at 1.
+def _islands(spans: DataFrame) -> DataFrame:
+    """``d, s, e``: the spans of each document joined where they touch."""
+    in_order = Window.partitionBy("d").orderBy("s", "e")
+    reached = F.max("e").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("_new", F.coalesce((F.col("s") > reached).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("d", "_run").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("d", "s", "e")
 
-    Null, empty and shorter texts share nothing; repeats within one document don't count; rows of
-    one id count as one document, rows without an id are left out; other columns are ignored."""
-    source = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text")).filter(F.col("d").isNotNull() & (F.length("text") >= min_chars))
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text"))
+
+
+def _spans(source: DataFrame, min_chars: int, earlier: bool = False) -> DataFrame:
+    """``d, s, e``: maximal spans from s to before e that another document of ``source`` (``d, text``)
+    holds too; with ``earlier`` a document of a lower id."""
+    source = source.filter(F.col("d").isNotNull() & (F.length("text") >= min_chars))
     seeds = written(find_seeds(source, min_chars))
     common = seeds.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("h")
     matched = seeds.join(common, "h", "left_semi").groupBy("d").agg(F.collect_list(F.struct("h", "pos", "len")).alias("seeds"))
@@ -271,19 +284,60 @@ def shared_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.first("len").alias("len"), F.first("left").alias("left"), F.first("right").alias("right"), F.min("d").alias("lo"), F.max("d").alias("hi")
     )
     counted = written(classes)
-    many = counted.groupBy("h").count().filter(F.col("count") > SURROUNDINGS).select("h")
-    few = _extended(counted.join(many, "h", "left_anti"), min_chars)
-    rest = _windowed(counted.join(many, "h", "left_semi"), min_chars)
-    found = few.unionByName(rest)
-    spans = around.select("h", "ctx", "d", "pos", "len").join(found, ["h", "ctx"]).select("d", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("len") + F.col("r")).alias("e")).distinct()
-    in_order = Window.partitionBy("d").orderBy("s", "e")
-    reached = F.max("e").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("_new", F.coalesce((F.col("s") > reached).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        islands.groupBy("d", "_run")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"))
-        .select(F.col("d").alias(id_col), (F.col("s") + 1).cast("int").alias("bas"), (F.col("e") - F.col("s")).cast("int").alias("uzunluk"))
-    )
+    sized = counted.join(counted.groupBy("h").agg(F.count("*").alias("_n")), "h")
+    few = _extended(sized.filter(F.col("_n") <= SURROUNDINGS), min_chars, earlier)
+    found = few.unionByName(_windowed(sized.filter(F.col("_n") > SURROUNDINGS), min_chars))
+    met = around.select("h", "ctx", "d", "pos", "len").join(found, ["h", "ctx"])
+    if earlier:
+        met = met.filter(F.col("first") < F.col("d"))
+    return met.select("d", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("len") + F.col("r")).alias("e")).distinct()
+
+
+def shared_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 300) -> DataFrame:
+    """``id_col, bas, uzunluk``: the maximal runs of positions that lie in a stretch of at least
+    ``min_chars`` characters found verbatim in another document. Positions start at 1.
+
+    Null, empty and shorter texts share nothing; repeats within one document don't count; rows of
+    one id count as one document, rows without an id are left out; other columns are ignored."""
+    runs = _islands(_spans(_source(docs, id_col, text_col), min_chars))
+    return runs.select(F.col("d").alias(id_col), (F.col("s") + 1).cast("int").alias("bas"), (F.col("e") - F.col("s")).cast("int").alias("uzunluk"))
+
+
+def uncovered(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the sentences (up to a line break, or white space behind . ! ? …) that lie whole
+    in one of the spans, which are in order and don't touch."""
+    out, k = [], 0
+    for m in _SENTENCE.finditer(text):
+        a, b = m.start(), m.start() + len(m.group().rstrip())
+        a += len(m.group()) - len(m.group().lstrip())
+        while k < len(spans) and spans[k][1] < b:
+            k += 1
+        if a >= b or k == len(spans) or spans[k][0] > a:
+            out.append(m.group())
+    return "".join(out)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 300) -> DataFrame:
+    """``id_col, text_col, cikan`` for every row of ``docs``: the text without the sentences that a span of
+    ``min_chars`` shared with a document of a lower id covers, and how many characters went.
+
+    The first holder of a span keeps it. Null texts stay null; rows without an id, and rows of an id
+    with several different texts, stay whole; rows that repeat an id and text are cut alike. Other
+    columns are ignored."""
+    source = _source(docs, id_col, text_col)
+    several = source.filter("d is not null and text is not null").select("d", F.xxhash64("text").alias("x")).distinct().groupBy("d").count().filter("count > 1").select("d")
+    runs = _islands(_spans(source, min_chars, earlier=True)).join(several, "d", "left_anti")
+    packed = runs.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            kept = [t if t is None or not x else uncovered(t, [(y["s"], y["e"]) for y in x]) for t, x in zip(texts, spans, strict=True)]
+            gone = [0 if t is None else len(t) - len(k) for t, k in zip(texts, kept, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(gone, pa.int32())], ["d", "text", "cikan"])
+
+    joined = source.join(packed, "d", "left").select("d", "text", "spans")
+    return joined.mapInArrow(cut, "d long, text string, cikan int").select(F.col("d").alias(id_col), F.col("text").alias(text_col), "cikan")
 
 
 def shared_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 300) -> DataFrame:
@@ -309,3 +363,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document is shared with others."""
     return shared_share(_documents(spark, sf_dir))
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without the sentences that repeat an earlier one's long stretches."""
+    return without_repeats(_documents(spark, sf_dir))

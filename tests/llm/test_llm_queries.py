@@ -15,6 +15,7 @@ COLUMNS = {
     "p7_ids": {"doc_id": "bigint", "ids": "array<int>"},
     "p8_found": {"doc_id": "bigint", "item_id": "bigint"},
     "p9_found": {"doc_id": "bigint", "bas": "int", "uzunluk": "int"},
+    "p9_kept": {"doc_id": "bigint", "text": "string", "cikan": "int"},
 }
 
 

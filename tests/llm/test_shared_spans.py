@@ -1,6 +1,9 @@
 """Shared stretches against a brute-force scan of all windows."""
 
 import random
+import re
+
+import pytest
 
 from terazi.llm import shared_spans as ss
 
@@ -95,3 +98,54 @@ def test_slices_of_long_texts(spark, monkeypatch):
         sliced |= {(int(ids[o]), int(s - begins[o] + offsets[o]), int(n)) for o, s, n in zip(of, start, length, strict=True)}
     assert {(r.d, r.pos, r.len) for r in rows} <= sliced
     assert whole
+
+
+def brute_kept(texts, size):
+    seen, out = set(), {}
+    for d in sorted(texts):
+        t = texts[d]
+        windows = [t[i : i + size] for i in range(len(t) - size + 1)]
+        marked = [False] * len(t)
+        for i, w in enumerate(windows):
+            if w in seen:
+                marked[i : i + size] = [True] * size
+        kept = ""
+        for part in re.split(r"(?<=[.!?…])(?=\s)|(?<=\n)", t):
+            # The white space in front of a sentence belongs to the one before.
+            lead = len(part) - len(part.lstrip())
+            kept_lead, body = part[:lead], part[lead:]
+            out.setdefault(d, []).append((kept_lead, body))
+        pieces, at, kept, gone = out[d], 0, [], True
+        for k, (lead, body) in enumerate(pieces):
+            if k == 0 or not gone:
+                kept.append(lead)
+            a, b = at + len(lead), at + len(lead) + len(body.rstrip())
+            gone = b > a and all(marked[a:b])
+            if not gone:
+                kept.append(body)
+            at += len(lead) + len(body)
+        out[d] = "".join(kept)
+        seen.update(windows)
+    return out
+
+
+@pytest.mark.parametrize("many", [64, 2])
+def test_repeated_sentences_go_and_their_first_holder_keeps_them(spark, monkeypatch, many):
+    monkeypatch.setattr(ss, "SURROUNDINGS", many)
+    texts = corpus(random.Random(7 + many), 18)
+    rows = [(d, t, 9) for d, t in texts.items()] + [(300, None, 1), (301, "", 1), (None, texts[0], 1), (302, texts[0], 1), (302, texts[1], 1)]
+    got = [(r.doc_id, r.text, r.cikan) for r in ss.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, cikan int")).collect()]
+    expected = brute_kept(texts, 300)
+    assert len(got) == len(rows)
+    for d, t in texts.items():
+        assert [x for x in got if x[0] == d] == [(d, expected[d], len(t) - len(expected[d]))]
+    assert sum(len(t) - len(expected[d]) for d, t in texts.items()) > 1000
+    assert (300, None, 0) in got and (301, "", 0) in got and (None, texts[0], 0) in got and {x[1] for x in got if x[0] == 302} == {texts[0], texts[1]}
+
+
+def test_uncovered():
+    text = "Bir iki. Üç dört!\nBeş altı. Son"
+    assert ss.uncovered(text, [(0, 18)]) == "Beş altı. Son"
+    assert ss.uncovered(text, [(1, 18)]) == "Bir iki. Beş altı. Son"
+    assert ss.uncovered(text, [(0, 8), (18, 31)]) == "Üç dört!\n"
+    assert ss.uncovered(text, []) == text
