@@ -25,7 +25,7 @@ from terazi.session import written
 RUN, GRAM = 2, 64
 #: Different surroundings of one seed that are compared with each other; beyond, whole windows are hashed.
 SURROUNDINGS = 64
-_BATCH_CHARS = 1_000_000
+_BATCH_CHARS, _LENGTH_BITS = 1_000_000, 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ENDS = np.array([ord(c) for c in ".!?…"], np.uint32)
@@ -251,9 +251,11 @@ def _spans(source: DataFrame, min_chars: int, earlier: bool = False) -> DataFram
     """``d, s, e``: maximal spans from s to before e that another document of ``source`` (``d, text``)
     holds too; with ``earlier`` a document of a lower id."""
     source = source.filter(F.col("d").isNotNull() & (F.length("text") >= min_chars))
-    seeds = written(find_seeds(source, min_chars))
+    # Place and length travel as one number: these rows are shuffled twice.
+    place = F.shiftleft(F.col("pos").cast("long"), _LENGTH_BITS).bitwiseOR(F.col("len").cast("long"))
+    seeds = written(find_seeds(source, min_chars).select("h", "d", place.alias("at")))
     common = seeds.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("h")
-    matched = seeds.join(common, "h", "left_semi").groupBy("d").agg(F.collect_list(F.struct("h", "pos", "len")).alias("seeds"))
+    matched = seeds.join(common, "h", "left_semi").groupBy("d").agg(F.collect_list(F.struct("h", "at")).alias("seeds"))
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "d", "pos", "len", "left", "right"]
@@ -262,7 +264,7 @@ def _spans(source: DataFrame, min_chars: int, earlier: bool = False) -> DataFram
         for batch in batches:
             for d, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for s in found:
-                    at, size = s["pos"], s["len"]
+                    at, size = s["at"] >> _LENGTH_BITS, s["at"] & (1 << _LENGTH_BITS) - 1
                     rest = min_chars - size
                     if at + size > len(text):
                         continue
