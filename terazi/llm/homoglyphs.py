@@ -15,15 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Look-alikes of Latin letters in Cyrillic and Greek (fixed values).
-LOOK_ALIKES = dict(
-    zip(
-        "АВЕЅЗІЈКМНОРСТУХҮԌ" + "аеѕіјорсухһԁԛԝ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "ονϲϳ",
-        "ABES3IJKMHOPCTYXYG" + "aesijopcyxhdqw" + "ABEZHIKMNOPTYX" + "ovcj",
-        strict=True,
-    )
-)
-LOOK_ALIKES.pop("З")
+from terazi.llm.words import LOOK_ALIKES
+
 #: Characters that show nothing (fixed values).
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤﻿"
 #: Spaces of other widths (fixed values).

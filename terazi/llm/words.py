@@ -9,6 +9,14 @@ import pyarrow as pa
 import xxhash
 
 _WORD = re.compile(r"[^\W_]+")
+#: Look-alikes of Latin letters in Cyrillic and Greek (fixed values).
+LOOK_ALIKES = dict(
+    zip(
+        "АВЕЅІЈКМНОРСТУХҮԌ" + "аеѕіјорсухһԁԛԝ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "ονϲϳ",
+        "ABESIJKMHOPCTYXYG" + "aesijopcyxhdqw" + "ABEZHIKMNOPTYX" + "ovcj",
+        strict=True,
+    )
+)
 
 
 def turkish_lower(text: str) -> str:

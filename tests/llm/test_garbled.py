@@ -35,7 +35,7 @@ def model(spark, corpus):
     return garbled.train(spark.createDataFrame([(t,) for t in corpus], "metin string"), "metin")
 
 
-CHAINS = [(("cp1252", "utf-8"),), (("latin-1", "utf-8"),), (("cp1254", "utf-8"),), (("mac-roman", "utf-8"),), (("cp1250", "utf-8"),), (("cp857", "utf-8"),), (("latin-1", "cp1254"),), (("cp1252", "utf-8"), ("cp1252", "utf-8"))]
+CHAINS = [(("cp1252", "utf-8"),), (("latin-1", "utf-8"),), (("cp1254", "utf-8"),), (("mac-roman", "utf-8"),), (("cp1250", "utf-8"),), (("cp857", "utf-8"),), (("latin-1", "cp1254"),), (("cp1252", "utf-8"), ("cp1252", "utf-8")), (("cp1251", "utf-8"),), (("koi8-r", "utf-8"),), (("cp866", "utf-8"),), (("latin-1", "utf-8"), ("mac-roman", "utf-8")), (("mac-roman", "utf-8"), ("cp850", "utf-8"))]
 
 
 @pytest.mark.parametrize("chain", CHAINS, ids=str)
@@ -57,6 +57,28 @@ def test_sound_text_stays(model, text):
     assert garbled.repair(text, model) == (False, text)
 
 
+@pytest.mark.parametrize("text", ["уürürlüğe gіrer", "tаrihinde", "Koмisyonсa", "во вода", "λ = 0,035 W/mK", "Ｍüｌｇａ", "ﬁkri"])
+def test_written_forms_are_no_damage(model, text):
+    assert garbled.repair(text, model) == (False, text)
+
+
+def test_single_byte_text_read_in_another_script(model, corpus):
+    chain = (("cp1251", "cp1254"),)
+    made = [(t, bad) for t in corpus[:300] if (bad := garbled.damage(t, chain)) and bad != t]
+    found = [garbled.repair(bad, model) for _, bad in made]
+    assert len(made) > 40 and sum(d for d, _ in found) / len(made) >= 0.99
+
+
+def test_the_margin_comes_from_held_out_rows(spark, model):
+    rows = spark.createDataFrame([("değişik ödeme şartı çıkarır",)] * 5, "t string")
+    assert 1.0 <= model.margin <= 8.0
+    assert garbled.validated_margin(rows, model) >= 1.0 and garbled.validated_margin(rows.limit(0), model) >= 1.0
+
+
+def test_a_letter_is_likelier_where_one_is_lost(model):
+    assert model.gain_of_letters("öde?e") < model.gain_of_letters("?alışma") and model.gain_of_letters("?alışma") > 0
+
+
 @pytest.mark.parametrize("text", ["ola�an ücret", "Hastal?k h?linde ödenir", "?tiraz? yazılı yapılır", "resm? ödeme emri"])
 def test_lost_letters_are_cases(model, text):
     assert garbled.repair(text, model)[0]
