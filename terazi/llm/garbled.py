@@ -47,8 +47,9 @@ LOST = "\ufffd"
 #: marks, spaces and invisible characters. Ranges come first, as they are what is tried first.
 _USUAL = "\u00a0\u00ad\u0300-\u036f\u2000-\u200f\u202f\u2060\u3000\ufeff" + "".join(c for c in TURKISH if c > "\x7f")
 _EVIDENCE = re.compile(f"[^\x00-\x7f{_USUAL}]")
-#: The same for Spark, with the question mark, which may stand for a lost letter.
-UNUSUAL = f"[^\\x00-\\x3e\\x40-\\x7f{_USUAL}]"
+#: Texts without any of it, nor a question mark, which may stand for a lost letter. One anchored run
+#: costs Spark less than half of a search for the opposite.
+USUAL = f"^[\\x00-\\x3e\\x40-\\x7f{_USUAL}]*+\\z"
 _INNER_MARK = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])|(?<![\w?!.)\"'])\?(?=[a-zçğıöşüâîû])|(?<=[^\W\d_])\?(?=[ ,;:)][\sa-zçğıöşüâîû(])|(?<=[^\W\d_])\?(?=[,;:.)])")
 _LETTER, _ASCII_LETTER = re.compile(r"[^\W\d_]"), re.compile("[A-Za-z]")
 #: Letters that wrong encodings lose (fixed values).
@@ -198,9 +199,10 @@ def train(texts: DataFrame, text_col: str) -> Model:
     """A model of all clean rows of a column; the counts are bounded by the alphabet, not by the rows.
 
     A row is clean if it shows no trace of a wrong decoding (``TRACES``)."""
-    clean = texts.select(F.col(text_col).cast("string").alias("t")).filter(F.col("t").isNotNull() & (~F.col("t").rlike(UNUSUAL) | ~F.col("t").rlike(TRACES)))
+    rows = texts.select(F.col(text_col).cast("string").alias("t")).dropna()
     held = F.pmod(F.xxhash64("t"), F.lit(HELD_OUT)) == 0
-    counted = clean.filter(~held).mapInArrow(_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    clean = F.col("t").rlike(USUAL) | ~F.col("t").rlike(TRACES)
+    counted = rows.filter(~held).filter(clean).mapInArrow(_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     three = np.zeros(_SIZE**3)
     if counted.num_rows:
         three[counted["cell"].to_numpy()] = counted["n"].to_numpy()
@@ -210,7 +212,7 @@ def train(texts: DataFrame, text_col: str) -> Model:
     double = (two + 5.0 * single) / (two.sum(axis=1, keepdims=True) + 5.0)
     triple = (three + 5.0 * double[None]) / (three.sum(axis=2, keepdims=True) + 5.0)
     table = np.log(triple).ravel().astype(np.float32)
-    return Model(table, validated_margin(clean.filter(held), Model(table, 0.0)))
+    return Model(table, validated_margin(rows.filter(held).filter(clean), Model(table, 0.0)))
 
 
 #: Sound foreign words with unusual letters, which clean rows may lack (fixed values).
@@ -327,7 +329,7 @@ def restored(rows: DataFrame, id_col: str, text_col: str, model: Model) -> DataF
     source = rows.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = dict(source.dtypes)["_id"]
     # Texts of usual characters without a question mark stay in the JVM.
-    unusual = F.coalesce(F.col("_text").rlike(UNUSUAL), F.lit(False))
+    unusual = F.coalesce(~F.col("_text").rlike(USUAL), F.lit(False))
     judged = source.filter(unusual).mapInArrow(judge, f"_id {kind}, _text string, hasarli boolean, duzeltilmis string")
     done = judged.unionByName(source.filter(~unusual).select("_id", "_text", F.lit(False).alias("hasarli"), F.col("_text").alias("duzeltilmis")))
     return done.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "hasarli", "duzeltilmis")
