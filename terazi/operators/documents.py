@@ -109,10 +109,12 @@ def spelling_map(texts: DataFrame, text: str, shortest: int = 3) -> DataFrame:
 def respelled(queries: DataFrame, id_col: str, text: str, spelling: DataFrame) -> DataFrame:
     """``id_col, duzeltilmis``: plain ASCII words of three letters and more get their spelling; all
     other characters and words stay. Words of capitals only stay too."""
-    rows = queries.select(F.col(id_col), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0))).alias("_i", "_w"))
-    plain = F.col("_w").rlike(r"^[A-Za-z]{3,}$") & ~F.col("_w").rlike(r"^[A-Z]+$")
-    rows = rows.withColumn("_key", F.when(plain, fold("_w")))
-    joined = rows.join(spelling.select(F.col("katli").alias("_key"), "dogru"), "_key", "left")
-    fixed = F.coalesce("dogru", "_w")
-    back = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_i", fixed.alias("w")))).alias("_l"))
-    return back.select(id_col, F.array_join(F.transform("_l", lambda x: x["w"]), "").alias("duzeltilmis"))
+    parts = F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0))
+    plain = F.array_distinct(F.filter(parts, lambda w: w.rlike(r"^[A-Za-z]{3,}$") & ~w.rlike(r"^[A-Z]+$")))
+    words = queries.select(F.col(id_col), F.explode(plain).alias("_w")).withColumn("_key", fold("_w"))
+    known = words.join(spelling.select(F.col("katli").alias("_key"), "dogru"), "_key")
+    # A document gets its own words' spellings as a map, and is put together where it is.
+    maps = known.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_w", "dogru"))).alias("_m"))
+    joined = queries.select(F.col(id_col), F.col(text).alias("_t"), parts.alias("_parts")).join(maps, id_col, "left")
+    fixed = F.when(F.col("_m").isNull(), F.col("_t")).otherwise(F.array_join(F.transform("_parts", lambda w: F.coalesce(F.try_element_at(F.col("_m"), w), w)), ""))
+    return joined.filter("_t is not null").select(id_col, fixed.alias("duzeltilmis"))

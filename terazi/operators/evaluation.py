@@ -23,11 +23,15 @@ def hits_and_mrr(firsts: DataFrame, by: str, cuts: tuple[int, ...] = (1, 3, 5, 1
     return firsts.groupBy(by).agg(F.count("*").alias("soru"), *hits, F.round(F.avg(F.coalesce(1.0 / F.col("ilk"), F.lit(0.0))), 6).alias("mrr"))
 
 
-def coverage(results: DataFrame, members: DataFrame, by: str, cuts: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """Share of a group's members among the first k results of its query."""
-    marked = members.select("query_id", by, "doc_id").distinct().join(results.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")
-    shares = [F.round(F.avg(F.when(F.col("rank") < k, 1.0).otherwise(0.0)), 6).alias(f"kapsam_{k}") for k in cuts]
-    return marked.groupBy(by).agg(F.count("*").alias("uye"), *shares)
+def label_coverage(results: DataFrame, queries: DataFrame, docs: DataFrame, cuts: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """``grup, uye, kapsam_k``: the share of a label's members (``docs``: ``doc_id, grup``) that the first k
+    results of its queries (``query_id, grup``) hold. Members are counted, not listed: the pairs of a
+    label's queries and members are the product of two counts."""
+    wanted = queries.groupBy("grup").agg(F.count("*").alias("_q")).join(docs.groupBy("grup").agg(F.count("*").alias("_n")), "grup")
+    own = results.join(queries, "query_id").join(docs.withColumnRenamed("grup", "_g"), "doc_id").filter("grup = _g")
+    found = own.groupBy("grup").agg(*[F.sum(F.when(F.col("rank") < k, 1).otherwise(0)).alias(f"_{k}") for k in cuts])
+    pairs = F.col("_q") * F.col("_n")
+    return wanted.join(found, "grup", "left").select("grup", pairs.alias("uye"), *[F.round(F.coalesce(F.col(f"_{k}"), F.lit(0)) / pairs, 6).alias(f"kapsam_{k}") for k in cuts])
 
 
 def law_coverage(laws: DataFrame, articles: DataFrame) -> DataFrame:

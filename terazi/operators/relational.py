@@ -43,11 +43,28 @@ def suffixed(rows: DataFrame, key: str, position: str, name: str) -> DataFrame:
     return rows.withColumn("_n", n).withColumn(name, F.when(F.col("_n") > 1, F.concat(F.col(name), F.lit(" ("), F.col("_n"), F.lit(")"))).otherwise(F.col(name))).drop("_n")
 
 
-def within_budget(rows: DataFrame, group: str, order: list[Column], size: Column, budget: int) -> DataFrame:
+def running(rows: DataFrame, group: str, order: list[Column], block: Column, sizes: dict[str, Column], most: dict[str, int] | None = None) -> DataFrame:
+    """Adds running sums within each group, under the names of ``sizes``.
+
+    ``block`` is a rising function of the order. A group is summed block by block, in as many tasks as
+    it has blocks; what came before a block is a running sum over one row a block. Blocks that begin
+    beyond ``most`` (of sums of sizes that aren't negative) are left out before anything is sorted."""
+    blocked = rows.withColumns({"_block": block, **{f"_s_{n}": c for n, c in sizes.items()}})
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy(group, "_block").agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sizes])
+    starts = sums.select(F.col(group).alias("_g"), F.col("_block").alias("_b"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sizes])
+    for name, limit in (most or {}).items():
+        starts = starts.filter(F.col(f"_before_{name}") <= limit)
+    joined = blocked.join(starts, F.col(group).eqNullSafe(F.col("_g")) & F.col("_block").eqNullSafe(F.col("_b")))
+    upto = Window.partitionBy(group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = joined.withColumns({n: F.col(f"_before_{n}") + F.sum(f"_s_{n}").over(upto) for n in sizes})
+    return inside.drop("_block", "_g", "_b", *[f"{p}_{n}" for n in sizes for p in ("_s", "_before")])
+
+
+def within_budget(rows: DataFrame, group: str, order: list[Column], size: Column, budget: int, block: Column) -> DataFrame:
     """The first rows of each group whose sizes add up to no more than the budget: the first overflow
-    ends the group."""
-    running = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("toplam", running).filter(F.col("toplam") <= budget)
+    ends the group. ``block`` rises with the order (see ``running``)."""
+    return running(rows, group, order, block, {"toplam": size}, {"toplam": budget}).filter(F.col("toplam") <= budget)
 
 
 def minus(shown: DataFrame, seen: DataFrame, keys: list[str], group: str, order: list[Column], k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terazi.functions import text
-from terazi.operators import citations, evaluation, relational
+from terazi.operators import citations, decisions, evaluation, relational
 from terazi.plans.registry import registry
 from terazi.plans.text_queries import sql_lower, sql_tokens
 from terazi.session import table
@@ -47,14 +47,14 @@ def laws_to_fetch(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT metin AS t, min(kayit_no) AS v FROM madde WHERE kayit_no % 2 = 0 AND metin IS NOT NULL GROUP BY 1)
-    SELECT m.kayit_no, o.v AS onceki FROM madde m LEFT JOIN o ON m.metin = o.t"""
+    """SELECT kayit_no, CASE WHEN metin IS NOT NULL THEN nullif(min(kayit_no) OVER (PARTITION BY metin), kayit_no) END AS onceki FROM madde"""
 )
 def embedding_reuse(spark: SparkSession, d: str) -> DataFrame:
-    """For each article the older row whose vector its text can take over."""
+    """For each article the first row of the same text, whose vector it can take over; null where it is
+    that row itself."""
     rows = table(spark, d, "madde").select("kayit_no", "metin")
-    old = rows.filter("kayit_no % 2 = 0 and metin is not null").withColumn("onceki", F.col("kayit_no"))
-    return relational.reused(rows, old, "metin", "onceki", "kayit_no").select("kayit_no", "onceki")
+    reused = relational.reused(rows, rows.filter("metin is not null").withColumn("onceki", F.col("kayit_no")), "metin", "onceki", "kayit_no")
+    return reused.select("kayit_no", F.nullif("onceki", "kayit_no").alias("onceki"))
 
 
 @query(
@@ -204,21 +204,28 @@ def decisions_of_articles(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("sira", F.row_number().over(Window.partitionBy("dugum").orderBy("karar_id"))).filter("sira <= 8")
 
 
+_SCORE = f"round(len(list_intersect(list_distinct({sql_tokens('anahtar')}), list_distinct({sql_tokens('metin')})))::DOUBLE / greatest(len(list_distinct({sql_tokens('anahtar')})), 1), 3)"
+_POOL = lambda name, live, order: f"SELECT id, daire, esas_no, karar_no, karar_tarihi, {live} AS canli, {order} AS o, kayit_no, {_SCORE} AS skor FROM {name}"
+
+
 @query(
-    """WITH u AS (SELECT id, daire, esas_no, karar_no, karar_tarihi, false AS canli, 0 AS o, kayit_no FROM karar_kaydi UNION ALL SELECT id, daire, esas_no, karar_no, karar_tarihi, true, 1, kayit_no FROM danistay_karari),
-        f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY coalesce(esas_no, '') || '|' || coalesce(karar_no, '') ORDER BY o, kayit_no) = 1),
-        t AS (SELECT *, try_strptime(CASE WHEN regexp_matches(karar_tarihi, '^\\d{2}\\.\\d{2}\\.\\d{4}$') THEN karar_tarihi END, '%d.%m.%Y')::DATE AS g FROM f)
-    SELECT daire, id, canli, g AS tarih, row_number() OVER (PARTITION BY daire ORDER BY g DESC NULLS LAST, id)::INT AS sira FROM t QUALIFY sira <= 3"""
+    f"""WITH u AS ({_POOL("karar_kaydi", "false", 0)} UNION ALL {_POOL("danistay_karari", "true", 1)}),
+        k AS (SELECT *, CASE WHEN coalesce(daire, '') <> '' THEN daire || ' ' || coalesce(esas_no, '') || ' E., ' || coalesce(karar_no, '') || ' K.'
+            WHEN coalesce(esas_no, '') || coalesce(karar_no, '') <> '' THEN coalesce(esas_no, '') || '|' || coalesce(karar_no, '') ELSE 'id ' || id END AS kisa FROM u),
+        f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY kisa ORDER BY o, kayit_no) = 1),
+        t AS (SELECT *, try_strptime(CASE WHEN regexp_matches(karar_tarihi, '^\\d{{2}}\\.\\d{{2}}\\.\\d{{4}}$') THEN karar_tarihi END, '%d.%m.%Y')::DATE AS g FROM f),
+        r AS (SELECT daire, id, canli, skor, g AS tarih, row_number() OVER (PARTITION BY daire ORDER BY skor DESC, g DESC NULLS LAST, o, kayit_no)::INT AS sira FROM t QUALIFY sira <= 3)
+    SELECT *, CASE WHEN bool_and(canli) OVER w THEN 'canli' WHEN bool_or(canli) OVER w THEN 'karma' ELSE 'yerel' END AS kaynak FROM r WINDOW w AS (PARTITION BY daire)"""
 )
 def merged_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Both pools without repeated case numbers, the three newest of each chamber; bad dates last."""
+    """Both pools without repeated short names, the three best of each chamber: by score (the share of
+    the search words in the text, as a stand-in for a cross-encoder), then by date, bad dates last. With
+    the label of the pools that the three come from."""
     columns = ["id", "daire", "esas_no", "karar_no", "karar_tarihi", "kayit_no"]
-    pools = [table(spark, d, t).select(*columns, F.lit(live).alias("canli"), F.lit(int(live)).alias("_o")) for t, live in (("karar_kaydi", False), ("danistay_karari", True))]
-    none = F.lit("")
-    keyed = pools[0].unionByName(pools[1]).withColumn("_k", F.concat(F.coalesce("esas_no", none), F.lit("|"), F.coalesce("karar_no", none)))
-    one = relational.first_per_key(keyed, ["_k"], [F.col("_o"), F.col("kayit_no")]).withColumn("tarih", text.dotted_date("karar_tarihi"))
-    order = Window.partitionBy("daire").orderBy(F.desc_nulls_last("tarih"), "id")
-    return one.withColumn("sira", F.row_number().over(order)).filter("sira <= 3").select("daire", "id", "canli", "tarih", "sira")
+    asked, said = F.array_distinct(text.tokens("anahtar")), F.array_distinct(text.tokens("metin"))
+    score = F.round(F.size(F.array_intersect(asked, said)) / F.greatest(F.size(asked), F.lit(1)), 3)
+    pools = [table(spark, d, t).select(*columns, score.alias("skor"), F.lit(live).alias("canli"), F.lit(int(live)).alias("_o")) for t, live in (("karar_kaydi", False), ("danistay_karari", True))]
+    return decisions.merged(pools[0].unionByName(pools[1]), ["_o", "kayit_no"], 3)
 
 
 @query(
@@ -235,16 +242,14 @@ def densest_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0), r AS (SELECT user_id, event_type, value, event_id FROM events e WHERE event_id % 2 = 1
-        AND NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = e.user_id AND s.event_type = e.event_type AND e.value < 5))
-    SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INT AS sira FROM r QUALIFY sira <= 5"""
+    """WITH s AS (SELECT DISTINCT user_id, event_type FROM events WHERE value < 5)
+    SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INT AS sira FROM events e
+    WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = e.user_id AND s.event_type = e.event_type) QUALIFY sira <= 5"""
 )
 def not_yet_shown(spark: SparkSession, d: str) -> DataFrame:
-    """The best rows of each user that weren't shown: over-fetching isn't needed with an anti-join."""
+    """The best events of each user, of kinds in which the user has no event below 5."""
     rows = table(spark, d, "events").select("user_id", "event_type", "value", "event_id")
-    seen = rows.filter("event_id % 2 = 0").select("user_id", "event_type").withColumn("az", F.lit(True)).distinct()
-    shown = rows.filter("event_id % 2 = 1").withColumn("az", F.col("value") < 5)
-    return relational.minus(shown, seen, ["user_id", "event_type", "az"], "user_id", [F.desc("value"), F.col("event_id")], 5).select("user_id", "event_id", "sira")
+    return relational.minus(rows, rows.filter("value < 5"), ["user_id", "event_type"], "user_id", [F.desc("value"), F.col("event_id")], 5).select("user_id", "event_id", "sira")
 
 
 @query(
@@ -254,11 +259,10 @@ def not_yet_shown(spark: SparkSession, d: str) -> DataFrame:
 def daily_budget(spark: SparkSession, d: str) -> DataFrame:
     """Calls and spending of each day, and how many calls fit both caps."""
     rows = table(spark, d, "events").select(F.to_date("ts").alias("gun"), "ts", "event_id", "value")
-    order = Window.partitionBy("gun").orderBy("ts", "event_id")
-    spent = F.sum(F.round(F.col("value") * 100).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    fits = (F.row_number().over(order) <= 1_500) & (spent <= 100_000)
-    counted = rows.withColumn("_ok", fits)
-    return counted.groupBy("gun").agg(F.count("*").alias("istek"), F.round(F.sum("value"), 2).alias("tutar"), F.sum(F.col("_ok").cast("int")).alias("kabul"))
+    cents = F.round(F.col("value") * 100).cast("long")
+    summed = relational.running(rows, "gun", [F.col("ts"), F.col("event_id")], F.date_trunc("minute", "ts"), {"_n": F.lit(1), "_t": cents})
+    fits = F.sum(((F.col("_n") <= 1_500) & (F.col("_t") <= 100_000)).cast("int"))
+    return summed.groupBy("gun").agg(F.count("*").alias("istek"), F.round(F.sum("value"), 2).alias("tutar"), fits.alias("kabul"))
 
 
 @query(
@@ -302,19 +306,19 @@ def orders_of_customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH a AS (SELECT karar_id, list_sort(list_distinct(flatten(list(regexp_extract_all(gerekce, '[0-9]{{3,4}}'))))) AS a FROM karar GROUP BY 1),
-        b AS (SELECT karar_id, list_distinct(flatten(list(regexp_extract_all(tam_metin, '[0-9]{{3,4}}')))) AS b FROM karar WHERE parca_no = 1 GROUP BY 1)
+    f"""WITH a AS (SELECT karar_id, list_distinct(flatten(list(regexp_extract_all(gerekce, '[0-9]{{3,4}}')))) AS a FROM karar GROUP BY 1),
+        b AS (SELECT karar_id, list_distinct(flatten(list(regexp_extract_all(tam_metin, '[0-9]{{3,4}}')))) AS b FROM karar GROUP BY 1)
     SELECT karar_id, array_to_string(list_sort(list_filter(a, lambda x: NOT coalesce(list_contains(b, x), false))), ' ') AS kayip FROM a LEFT JOIN b USING (karar_id)"""
 )
 def unsupported_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Numbers in the pieces of a decision that its whole text lacks: a check of answers by context."""
-    rows = table(spark, d, "karar").select("karar_id", "parca_no", "gerekce", "tam_metin")
+    rows = table(spark, d, "karar").select("karar_id", "gerekce", "tam_metin")
 
-    def numbers(df: DataFrame, column: str, name: str) -> DataFrame:
-        found = df.select("karar_id", F.explode_outer(F.regexp_extract_all(column, F.lit("[0-9]{3,4}"), F.lit(0))).alias("n")).distinct()
+    def numbers(column: str, name: str) -> DataFrame:
+        found = rows.select("karar_id", F.explode_outer(F.regexp_extract_all(column, F.lit("[0-9]{3,4}"), F.lit(0))).alias("n")).distinct()
         return found.groupBy("karar_id").agg(F.collect_set("n").alias(name))
 
-    joined = numbers(rows, "gerekce", "a").join(numbers(rows.filter("parca_no = 1"), "tam_metin", "b"), "karar_id", "left")
+    joined = numbers("gerekce", "a").join(numbers("tam_metin", "b"), "karar_id", "left")
     lacking = F.array_except("a", F.coalesce("b", F.array().cast("array<string>")))
     return joined.select("karar_id", F.array_join(F.array_sort(lacking), " ").alias("kayip"))
 

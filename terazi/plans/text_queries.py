@@ -271,14 +271,14 @@ _PROTECTED = ("mahkemesi", "kanunu", "dairesi", "kurulu", "bölge", "hukuk")
 
 
 @query(
-    f"""WITH c AS (SELECT karar_id, unnest(regexp_extract_all(tam_metin, '[A-ZÇĞİÖŞÜ][a-zçğıöşü]{{2,}}(?: [A-ZÇĞİÖŞÜ][a-zçğıöşü]{{2,}}){{1,3}}')) AS aday FROM karar WHERE parca_no = 1),
+    f"""WITH c AS (SELECT karar_id, unnest(regexp_extract_all(tam_metin, '[A-ZÇĞİÖŞÜ][a-zçğıöşü]{{2,}}(?: [A-ZÇĞİÖŞÜ][a-zçğıöşü]{{2,}}){{1,3}}')) AS aday FROM (SELECT DISTINCT karar_id, tam_metin FROM karar)),
         n AS (SELECT karar_id, aday, count(*) AS n FROM c WHERE NOT list_has_any(string_split({sql_lower('aday')}, ' '), {list(_PROTECTED)}) GROUP BY 1, 2)
     SELECT karar_id, aday, n FROM n QUALIFY row_number() OVER (PARTITION BY karar_id ORDER BY n DESC, aday) <= 25"""
 )
 def name_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Capitalised runs of decisions that may be names."""
-    first = table(spark, d, "karar").filter("parca_no = 1").select("karar_id", F.col("tam_metin").alias("t"))
-    return privacy.capital_runs(first, "karar_id", "t", _PROTECTED)
+    whole = table(spark, d, "karar").select("karar_id", F.col("tam_metin").alias("t"), F.xxhash64("tam_metin").alias("h"))
+    return privacy.capital_runs(whole.dropDuplicates(["karar_id", "h"]), "karar_id", "t", _PROTECTED)
 
 
 @query(

@@ -88,7 +88,7 @@ def test_reuse_by_text(spark):
 
 def test_budget_stops_at_first_overflow(spark):
     df = spark.createDataFrame([("g", 1, 5), ("g", 2, 6), ("g", 3, 1)], "g string, o int, n int")
-    assert rows(relational.within_budget(df, "g", [F.col("o")], F.col("n"), 10), "o") == [(1,)]
+    assert rows(relational.within_budget(df, "g", [F.col("o")], F.col("n"), 10, F.floor(F.col("o") / 2)), "o") == [(1,)]
 
 
 def test_densest_first_of_equals(spark):
@@ -183,3 +183,28 @@ def test_hits_and_mrr(spark):
     firsts = evaluation.first_gold_rank(results, gold, ["law", "article"]).withColumn("g", F.lit("a"))
     got = evaluation.hits_and_mrr(firsts, "g").first()
     assert (got.soru, got.ilk_1, got.ilk_3, got.mrr) == (2, 0, 1, 0.25)
+
+
+def test_running_sums_by_blocks(spark):
+    df = spark.range(400).selectExpr("if(id % 3 = 0, null, id % 3) g", "id o", "(id * 7) % 11 n")
+    got = {r.o: (r.t, r.k) for r in relational.running(df, "g", [F.col("o")], F.floor(F.col("o") / 16), {"t": F.col("n"), "k": F.lit(1)}).collect()}
+    sums = {}
+    for r in df.orderBy("o").collect():
+        t, k = sums.get(r.g, (0, 0))
+        sums[r.g] = (t + r.n, k + 1)
+        assert got[r.o] == sums[r.g]
+    few = relational.within_budget(df, "g", [F.col("o")], F.col("n"), 100, F.floor(F.col("o") / 16))
+    assert {r.o for r in few.collect()} == {o for o, (t, _) in got.items() if t <= 100}
+
+
+def test_merged_decisions_order_and_label(spark):
+    from terazi.operators import decisions
+
+    rows = [
+        ("3. HD", "A", "1", "1", "03.07.2014", 1, 0.999, False, 0), ("3. HD", "B", "2", "2", "01.02.2020", 2, 0.999, True, 1), ("3. HD", "C", "1", "1", "01.01.2022", 3, 0.9, True, 1),
+        ("9. HD", "D", "5", "5", "01.01.2005", 4, 0.95, False, 0), ("9. HD", "E", "6", "6", "01.01.2024", 5, 0.4, False, 0),
+        (None, "F", None, None, "", 6, 0.5, False, 0), (None, "G", None, None, "abc", 7, 0.5, False, 0), (None, "H", "7", "7", "01.01.2020", 8, 0.5, False, 0),
+    ]
+    df = spark.createDataFrame(rows, "daire string, id string, esas_no string, karar_no string, karar_tarihi string, kayit_no long, skor double, canli boolean, _o int")
+    got = decisions.merged(df, ["_o", "kayit_no"], 3).orderBy("daire", "sira").collect()
+    assert [(r.id, r.kaynak) for r in got] == [("H", "yerel"), ("F", "yerel"), ("G", "yerel"), ("B", "karma"), ("A", "karma"), ("D", "yerel"), ("E", "yerel")]
