@@ -6,10 +6,12 @@ one union and one aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,91 +23,104 @@ K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 DIGITS = 6
 
 
-def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """``doc_id, term, tf, dl`` of each document; documents without terms have no rows."""
-    split = docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("_t"))
-    rows = split.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+def tokenised(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """``doc_id, terms``: the terms of each document in order; a missing text has none."""
+    return docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("terms"))
 
 
-def term_statistics(docs: DataFrame, text: Column, n_docs: int) -> DataFrame:
-    """``term, df, idf``; an idf below zero becomes a part of the mean idf. The frequencies are written
-    once, as both the mean and the terms are read from them."""
-    df = written(docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+def term_statistics(docs: DataFrame, n_docs: int) -> DataFrame:
+    """``term, df, idf`` of ``docs`` (``terms``); an idf below zero becomes a part of the mean idf. The
+    frequencies are written once, as both the mean and the terms are read from them."""
+    df = written(docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     scored = df.withColumn("_raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = scored.agg(F.avg("_raw")).scalar()
     return scored.select("term", "df", F.when(F.col("_raw") < 0, EPSILON * mean).otherwise(F.col("_raw")).alias("idf"))
 
 
-#: Queries whose terms are sent to every task; more of them meet the postings in a join.
-SENT_QUERIES = 20_000
+#: Pairs of query and term, and bytes of query vectors, that are sent to every task at once.
+PAIRS, SLICE_BYTES = 2_000_000, 32 << 20
+#: Scores that a task holds at once.
+CELLS = 2_000_000
 
 
-def bm25_top(queries: DataFrame, docs: DataFrame, id_col: str, text: Column, k: int = 10, sent: int = SENT_QUERIES) -> DataFrame:
+class _Best:
+    """The k best documents of each of some queries: by score, then by the lower id."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.query, self.doc, self.score = np.array([], np.int64), np.array([], np.int64), np.array([])
+        self.bar = np.full(len(ids), -np.inf)
+
+    def add(self, docs: np.ndarray, scores: np.ndarray) -> None:
+        """``scores``: a row for each of ``docs``, a column for each query."""
+        row, query = np.nonzero(scores >= self.bar)
+        q, d, s = (np.concatenate(x) for x in ((self.query, query), (self.doc, docs[row]), (self.score, scores[row, query])))
+        order = np.lexsort((d, -s, q))
+        q, d, s = q[order], d[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = place < self.k
+        self.query, self.doc, self.score = q[kept], d[kept], s[kept]
+        last = place[kept] == self.k - 1
+        self.bar[self.query[last]] = self.score[last]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.query], pa.int64()), pa.array(self.doc, pa.int64()), pa.array(self.score, pa.float64())], ["query_id", "doc_id", "skor"])
+
+
+_SCORED = "query_id long, doc_id long, skor double"
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, id_col: str, text: Column, k: int = 10, pairs: int = PAIRS) -> DataFrame:
     """``query_id, doc_id, skor, rank`` of ``queries`` (``query_id, text``; ids are integers).
 
     Always k rows a query while there are documents: those without a common term have score 0 and
     follow in the order of their ids. Repeated query terms count each time. Statistics are over all
     documents; a missing text counts as a document of length 0.
 
-    Up to ``sent`` queries are scored where the documents are, as products of sparse rows, and each
-    task passes on its k best; a join would pass on every document that shares a common word."""
-    split = docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("_t"))
-    totals = split.agg(F.count("*").alias("n"), F.sum(F.size("_t")).alias("total")).first()
-    n_docs, mean = totals["n"], (totals["total"] or 0) / max(1, totals["n"])
+    Documents are tokenised once and written. The queries' weighted terms go to the documents, in
+    blocks of about ``pairs`` terms; a task adds up the terms that a document shares and passes on the
+    k best of each query, so neither documents nor scores are shuffled."""
+    split = written(tokenised(docs, id_col, text))
+    totals = split.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("total")).first()
+    n_docs, mean = totals["n"], (totals["total"] or 0) / max(1, totals["n"]) or 1.0
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    weights = term_statistics(docs, text, n_docs)
-    named = queries.select("query_id").distinct()
-    if named.count() > sent:
-        return _bm25_joined(named, asked, docs, id_col, text, weights, mean, k)
-    terms = weights.join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf").toArrow()
-    known = dict(zip(terms["term"].to_pylist(), range(terms.num_rows), strict=True))
-    ids = np.sort(named.toArrow()["query_id"].to_numpy())
-    matrix = np.zeros((len(known), len(ids)), np.float64)
-    for row in asked.toArrow().to_pylist():
-        if row["term"] in known:
-            matrix[known[row["term"]], np.searchsorted(ids, row["query_id"])] = row["qn"]
-    matrix *= terms["idf"].to_numpy()[:, None] if len(known) else 1
-    shared = docs.sparkSession.sparkContext.broadcast((known, ids, matrix))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids, matrix = shared.value
-        best_id, best = np.zeros((0, len(ids)), np.int64), np.zeros((0, len(ids)))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
-                rows, cols, sizes = [], [], np.zeros(part.num_rows)
-                for i, words in enumerate(part.column(1).to_pylist()):
-                    sizes[i] = len(words)
-                    found = [known[w] for w in words if w in known]
-                    cols += found
-                    rows += [i] * len(found)
-                cell, tf = np.unique(np.array(rows, np.int64) * max(1, len(known)) + np.array(cols, np.int64), return_counts=True)
-                gains = np.zeros((part.num_rows, len(known)))
-                row, col = np.divmod(cell, max(1, len(known)))
-                gains[row, col] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / (mean or 1.0)))
-                docs_in = np.broadcast_to(part.column(0).to_numpy()[:, None], (part.num_rows, len(ids)))
-                every, every_id = np.concatenate([best, np.round(gains @ matrix, DIGITS)]), np.concatenate([best_id, docs_in])
-                order = np.lexsort((every_id, -every), axis=0)[:k]
-                best, best_id = np.take_along_axis(every, order, 0), np.take_along_axis(every_id, order, 0)
-        out = np.broadcast_to(ids, best.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(out.ravel()), pa.array(best_id.ravel()), pa.array(best.ravel())], ["query_id", "doc_id", "skor"])
-
-    return ranked(split.select(F.col("doc_id").cast("long"), "_t").mapInArrow(score, "query_id long, doc_id long, skor double"), "skor", k)
-
-
-def _bm25_joined(named: DataFrame, asked: DataFrame, docs: DataFrame, id_col: str, text: Column, weights: DataFrame, mean: float, k: int) -> DataFrame:
-    """The same by joins, for any number of queries."""
-    wanted = postings(docs, id_col, text).join(asked.select("term").distinct(), "term", "left_semi")
-    norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0)))
-    gain = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    hits = wanted.join(weights, "term").join(asked, "term")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), DIGITS).alias("skor"))
-    first = docs.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(k).agg(F.collect_list("doc_id")).scalar()
-    padding = named.select("query_id", F.explode(first).alias("doc_id"), F.lit(0.0).alias("skor"))
-    every = scored.unionByName(padding).groupBy("query_id", "doc_id").agg(F.max("skor").alias("_hi"), F.min("skor").alias("_lo"))
-    every = every.select("query_id", "doc_id", F.when(F.col("_lo") < 0, F.col("_lo")).otherwise(F.col("_hi")).alias("skor"))
-    return ranked(every, "skor", k)
+    weighted = written(asked.join(term_statistics(split, n_docs), "term").select("query_id", "term", (F.col("qn") * F.col("idf")).alias("w")))
+    named = written(queries.select("query_id").distinct())
+    blocks = max(1, -(-max(weighted.count(), named.count()) // pairs))
+
+    def scorer(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
+        ids = np.sort(named.filter(mine).toArrow()["query_id"].to_numpy())
+        rows = weighted.filter(mine).orderBy("term", "query_id").toArrow()
+        terms, code = np.unique(np.array(rows["term"].to_pylist(), object), return_inverse=True) if rows.num_rows else (np.array([], object), np.array([], np.int64))
+        starts = np.searchsorted(code, np.arange(len(terms) + 1))
+        shared = docs.sparkSession.sparkContext.broadcast((ids, terms.tolist(), starts, np.searchsorted(ids, rows["query_id"].to_numpy()), rows["w"].to_numpy()))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, terms, starts, query, weight = shared.value
+            known, best = pa.array(terms, pa.string()), _Best(ids, k)
+            if not len(ids):
+                return
+            for batch in batches:
+                for at in range(0, batch.num_rows, max(1, CELLS // len(ids))):
+                    part = batch.slice(at, max(1, CELLS // len(ids)))
+                    sizes = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                    found = pc.index_in(part.column(1).flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    row = np.repeat(np.arange(len(sizes)), sizes)[found >= 0]
+                    cell, tf = np.unique(row * max(1, len(terms)) + found[found >= 0], return_counts=True)
+                    row, term = np.divmod(cell, max(1, len(terms)))
+                    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / mean))
+                    # Each term of a document goes to the queries that ask for it.
+                    each = starts[term + 1] - starts[term]
+                    spot = np.repeat(starts[term] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum()) if len(each) else np.array([], np.int64)
+                    total = np.bincount(np.repeat(row, each) * len(ids) + query[spot], np.repeat(gain, each) * weight[spot], len(sizes) * len(ids))
+                    best.add(part.column(0).to_numpy(), np.round(total, DIGITS).reshape(len(sizes), len(ids)))
+            yield best.batch()
+
+        return score
+
+    source = split.select(F.col("doc_id").cast("long"), "terms")
+    return ranked(functools.reduce(DataFrame.unionByName, (source.mapInArrow(scorer(b), _SCORED) for b in range(blocks))), "skor", k)
 
 
 def ranked(scored: DataFrame, score: str, k: int | None = None) -> DataFrame:
@@ -115,39 +130,111 @@ def ranked(scored: DataFrame, score: str, k: int | None = None) -> DataFrame:
     return out if k is None else out.filter(F.col("rank") < k)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
-    """``query_id, doc_id, skor, rank``: cosine of ``queries`` (``query_id, vector``) with all
-    ``vectors`` (``doc_id, vector``), block by block.
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix of unit rows; zero vectors become null rows (not a number)."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
-    A block of queries meets a block of vectors as one matrix product and keeps its k best, so
-    neither side has to fit a task. Null and zero vectors have no neighbours."""
 
-    def blocks(df: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame, int]:
-        rows = df.filter(F.col("vector").isNotNull()).select(key, "vector")
-        n = max(1, -(-rows.count() // size))
-        return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(key, "vector")).alias(f"{name}_rows")), n
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """``query_id, doc_id, skor, rank``: cosine of ``queries`` (``query_id, vector``) with all
+    ``vectors`` (``doc_id, vector``), exactly.
+
+    The queries go to the vectors in slices of about ``slice_bytes``; a task keeps the k best of each
+    query, so no vector is shuffled. Null and zero vectors have no neighbours. All vectors have one
+    length."""
+    asked = written(queries.filter(F.col("vector").isNotNull()).select(F.col("query_id").cast("long"), "vector"))
+    size = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    slices = max(1, -(-size[0] * (size[1] or 1) * 8 // slice_bytes))
+
+    def scorer(number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == number).orderBy("query_id").toArrow().combine_chunks()
+        matrix = _matrix(rows["vector"].combine_chunks()) if rows.num_rows else np.zeros((0, 1))
+        sound = ~np.isnan(matrix).any(axis=1)
+        shared = vectors.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy()[sound], matrix[sound]))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, asked_for = shared.value
+            if not len(ids):
+                return
+            best, step = _Best(ids, k), max(1, CELLS // len(ids))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    matrix = _matrix(part.column(1))
+                    sound = ~np.isnan(matrix).any(axis=1)
+                    best.add(part.column(0).to_numpy()[sound], np.round(matrix[sound] @ asked_for.T, DIGITS))
+            yield best.batch()
+
+        return score
+
+    source = vectors.filter(F.col("vector").isNotNull()).select(F.col("doc_id").cast("long"), "vector")
+    return ranked(functools.reduce(DataFrame.unionByName, (source.mapInArrow(scorer(i), _SCORED) for i in range(slices))), "skor", k)
+
+
+#: Vectors that the index is fitted on, at most; its lists, in how many a vector is, and how many a query
+#: looks into.
+SAMPLE, LISTS, SPILL, PROBES, ROUNDS = 20_000, 64, 3, 16, 8
+
+
+def fitted_lists(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE) -> np.ndarray:
+    """Centres of an inverted-list index by spherical k-means over the ``sample`` vectors of least hash.
+    Only the fit is bounded: every vector is indexed."""
+    rows = vectors.filter(F.col("vector").isNotNull()).select("vector", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).toArrow()
+    if not rows.num_rows:
+        return np.zeros((1, 1))
+    points = _matrix(rows["vector"].combine_chunks())
+    points = points[~np.isnan(points).any(axis=1)]
+    centres = points[: max(1, min(lists, len(points)))]
+    for _ in range(ROUNDS):
+        nearest_centre = (points @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest_centre, points)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
+    return centres
+
+
+def indexed_nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, centres: np.ndarray | None = None, probes: int = PROBES, block: int = 1_024) -> DataFrame:
+    """The same by an index: each vector is in the lists of its ``SPILL`` nearest centres, each query looks
+    into the lists of its ``probes`` nearest. Approximate; recall is measured in the tests.
+
+    A list's vectors and its queries are cut into blocks of about ``block`` by hash, so a list that holds
+    a third of all vectors spreads over many tasks; each pair of blocks passes on its best k."""
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(fitted_lists(vectors) if centres is None else centres)
+
+    def placed(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                matrix = _matrix(batch.column(1))
+                sound = np.flatnonzero(~np.isnan(matrix).any(axis=1))
+                lists = np.argsort(-(matrix[sound] @ shared.value.T), axis=1, kind="stable")[:, :n]
+                rows = np.repeat(sound, lists.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(lists.ravel().astype(np.int32))], ["id", "vector", "list"])
+
+        return place
+
+    def on(df: DataFrame, key: str, n: int) -> DataFrame:
+        rows = df.filter(F.col("vector").isNotNull()).select(F.col(key).cast("long").alias("id"), F.col("vector").cast("array<double>"))
+        return rows.mapInArrow(placed(n), "id long, vector array<double>, list int")
+
+    def packed(rows: DataFrame, name: str) -> DataFrame:
+        sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        cut = rows.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        return cut.groupBy("list", "block").agg(F.collect_list(F.struct("id", "vector")).alias(name)).select("list", name)
+
+    met = packed(written(on(queries, "query_id", probes)), "queries").join(packed(written(on(vectors, "doc_id", SPILL)), "docs"), "list")
 
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                qi, vi = [np.array([r[name] for r in rows]) for rows, name in ((q, "query_id"), (v, "doc_id"))]
-                qm, vm = [np.array([r["vector"] for r in rows], np.float64) for rows in (q, v)]
-                qn, vn = np.linalg.norm(qm, axis=1), np.linalg.norm(vm, axis=1)
-                qi, qm, vi, vm = qi[qn > 0], qm[qn > 0] / qn[qn > 0, None], vi[vn > 0], vm[vn > 0] / vn[vn > 0, None]
-                score = np.round(qm @ vm.T, DIGITS)
-                out: list[list] = [[], [], []]
-                for i in range(len(qi)):
-                    best = np.lexsort((vi, -score[i]))[:k]
-                    out[0] += [int(qi[i])] * len(best)
-                    out[1] += [int(x) for x in vi[best]]
-                    out[2] += [float(x) for x in score[i, best]]
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "doc_id", "skor"])
-
-    (left, _), (right, n_right) = blocks(queries, "query_id", block, "q"), blocks(vectors, "doc_id", 4096, "v")
-    # Every block of queries goes to every block of vectors by the latter's number.
-    sent = left.select("q_rows", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)).cast("array<bigint>")).alias("v"))
-    met = sent.join(right, "v").select("q_rows", "v_rows")
-    return ranked(met.mapInArrow(product, "query_id long, doc_id long, skor double"), "skor", k)
+            for q, d in zip(batch.column(0), batch.column(1), strict=True):
+                best = _Best(q.values.field("id").to_numpy(), k)
+                best.add(d.values.field("id").to_numpy(), np.round(_matrix(d.values.field("vector")) @ _matrix(q.values.field("vector")).T, DIGITS))
+                yield best.batch()
+
+    return ranked(met.select("queries", "docs").mapInArrow(score, _SCORED).distinct(), "skor", k)
 
 
 def channel(found: DataFrame, name: str, order: int, weight: float) -> DataFrame:

@@ -40,7 +40,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 def bm25_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency and idf of every term of the articles."""
     docs = _articles(spark, d)
-    stats = retrieval.term_statistics(docs, F.col("sozcuk"), docs.count())
+    stats = retrieval.term_statistics(retrieval.tokenised(docs, "kayit_no", F.col("sozcuk")), docs.count())
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -169,6 +169,13 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.nearest(asked, rows.select("doc_id", "vector"))
 
 
+@query()
+def indexed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Ten near vectors of every twentieth vector by inverted lists; approximate."""
+    asked, rows = _vectors(spark, d)
+    return retrieval.indexed_nearest(asked, rows.select("doc_id", "vector"))
+
+
 @query(f"WITH {_VECTORS} SELECT query_id, doc_id, skor, (row_number() OVER (PARTITION BY query_id ORDER BY skor DESC, doc_id) - 1)::INT AS rank FROM s WHERE dl <> 0 QUALIFY rank < 10")
 def nearest_filtered(spark: SparkSession, d: str) -> DataFrame:
     """The same among the vectors whose label isn't 0: the filter is below the ranking."""

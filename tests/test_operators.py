@@ -1,6 +1,7 @@
 """Core operators on small literal tables."""
 
 import math
+import os
 from collections import Counter
 
 import pytest
@@ -14,12 +15,12 @@ def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-@pytest.mark.parametrize("sent", [0, 100])
-def test_bm25_matches_brute_force(spark, sent):
+@pytest.mark.parametrize("pairs", [1, 100])
+def test_bm25_matches_brute_force(spark, pairs):
     texts = ["kira artışı kira", "iş sözleşmesi", "kira ve iş", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     asked = spark.createDataFrame([(0, "KİRA kira is"), (1, "yok")], "query_id long, text string")
-    got = retrieval.bm25_top(asked, docs, "id", F.col("t"), 4, sent).collect()
+    got = retrieval.bm25_top(asked, docs, "id", F.col("t"), 4, pairs).collect()
     words = [["kira", "artisi", "kira"], ["is", "sozlesmesi"], ["kira", "ve", "is"], [], []]
     df = Counter(w for d in words for w in set(d))
     idf = {w: math.log(5 - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
@@ -42,13 +43,40 @@ def test_nearest_in_blocks(spark):
     m = rng.normal(size=(60, 8))
     vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(99, None), (98, [0.0] * 8)], "doc_id long, vector array<double>")
     asked = vectors.filter("doc_id < 7").withColumnRenamed("doc_id", "query_id")
-    got = retrieval.nearest(asked, vectors, 5, block=3)
+    got = retrieval.nearest(asked, vectors, 5, slice_bytes=100)
     unit = m / np.linalg.norm(m, axis=1)[:, None]
     for q in range(7):
         expected = sorted(range(60), key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:5]
         assert [r.doc_id for r in got.filter(F.col("query_id") == q).orderBy("rank").collect()] == expected
 
 
+def test_bm25_keeps_the_best_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CELLS", 7)
+    docs = spark.createDataFrame([(i, " ".join(["kira"] * (i % 5) + ["dava"] * (i % 3) + [f"s{i}"])) for i in range(90)], "id long, t string")
+    asked = spark.createDataFrame([(q, "kira dava" if q % 2 else "dava") for q in range(5)], "query_id long, text string")
+    few = sorted(tuple(r) for r in retrieval.bm25_top(asked, docs, "id", F.col("t"), 6).collect())
+    monkeypatch.setattr(retrieval, "CELLS", 1_000_000)
+    assert few == sorted(tuple(r) for r in retrieval.bm25_top(asked, docs, "id", F.col("t"), 6, 3).collect()) and len(few) == 30
+    assert retrieval.bm25_top(asked.limit(0), docs, "id", F.col("t"), 6).count() == 0 and retrieval.bm25_top(asked, docs.limit(0), "id", F.col("t"), 6).count() == 0
+
+
+def test_recall_of_the_index(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables are not here")
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    asked = vectors.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    exact = retrieval.nearest(asked, vectors)
+    found = retrieval.indexed_nearest(asked, vectors)
+    n = exact.count()
+    recall = exact.join(found, ["query_id", "doc_id"], "left_semi").count() / n
+    print("recall", recall, n)
+    assert n == 10 * asked.count() and recall >= 0.9
+    # One list holds all: its blocks are compared one by one.
+    one = retrieval.indexed_nearest(asked, vectors, centres=retrieval.fitted_lists(vectors, 1), block=100)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, exact.collect()))
+
+
 def test_fusion_and_ties(spark):
     a = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (1, None, 2)], "query_id long, doc_id long, rank int")
     b = spark.createDataFrame([(1, 11, 0), (1, 12, 1)], "query_id long, doc_id long, rank int")
