@@ -99,19 +99,32 @@ def corpus_health(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_ORD = citations.ORDINAL
-_NAMES = sorted(citations.LAW_NAMES, key=len, reverse=True)
-_CASE_NAMES = " ".join(f"WHEN mk = '{n}' THEN '{citations.LAW_NAMES[n]}'" for n in _NAMES)
-_REL = " ".join(f"WHEN regexp_matches({sql_lower('kanit')}, '{p}') THEN '{n}'" for n, p in citations.RELATIONS)
+#: The SQL has its own copy of names, patterns and relations, so that a wrong one shows.
+_LAWS = (
+    ("sosyal sigortalar ve genel sağlık sigortası kanunu", "5510"), ("sendikalar ve toplu iş sözleşmesi kanunu", "6356"), ("hukuk muhakemeleri kanunu", "6100"), ("iş mahkemeleri kanunu", "7036"),
+    ("türk borçlar kanunu", "6098"), ("türk ticaret kanunu", "6102"), ("türk medeni kanunu", "4721"), ("türk ceza kanunu", "5237"), ("deniz iş kanunu", "854"), ("basın iş kanunu", "5953"),
+    ("borçlar kanunu", "6098"), ("medeni kanun", "4721"), ("ceza kanunu", "5237"), ("iş kanunu", "4857"),
+)
+_NAMES = [n for n, _ in _LAWS]
+_CASE_NAMES = " ".join(f"WHEN mk = '{n}' THEN '{no}'" for n, no in _LAWS)
+_NTH = "(?:inci|ıncı|uncu|üncü|nci|ncı|ncu|ncü)"
+_SQL_ARTICLES = rf"(?:(?:ek|geçici)\s+)?\b(?:[0-9]{{1,4}}\s*(?:\.|{_NTH})?\s*(?:,|ve|ile|ila|–|-)\s*){{0,9}}[0-9]{{1,4}}\s*(?:\.|{_NTH})?\s*madde"
+_SQL_ARTICLE = rf"m\.\s*[0-9]{{1,4}}\b|madde\s*[:-]?\s*[0-9]{{1,4}}\b|\b[0-9]{{1,4}}\s*(?:\.|{_NTH})?\s*madde"
+_SQL_MARK = r"[0-9]{3,4}\s*say[ıi]l[ıi]|bu kanun|" + "|".join(_NAMES)
+_REL = f"""WHEN regexp_matches({sql_lower('kanit')}, 'yürürlükten kaldırıl|mülga|ilga edil') THEN 'mulga'
+    WHEN regexp_matches({sql_lower('kanit')}, 'değiştiril|değişik|eklenmiştir|ibaresi|ibareleri') THEN 'degistirir'
+    WHEN regexp_matches({sql_lower('kanit')}, 'istisna|saklıdır|hariç|uygulanmaz|dışında|tabi değil|dahil değil') THEN 'istisna'
+    WHEN regexp_matches({sql_lower('kanit')}, 'para cezası|aykırı hareket|cezalandırıl|aykırı davran') THEN 'yaptirim'
+    WHEN regexp_matches({sql_lower('kanit')}, 'hükümleri uygulanır|hükümlerine göre|uyarınca|gereğince|hükümlerine tabi|hükmü uygulanır|belirtilen|göre') THEN 'gonderme'"""
 _LOCATED = """list_transform(generate_series(1, len(f)), lambda i: struct_pack(pos := (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) + 1)::INT, m := f[i]))"""
 _EDGES = f"""a AS (SELECT mevzuat_no AS l, madde_no AS a, metin AS t, {sql_lower('metin')} AS low FROM madde WHERE metin IS NOT NULL),
-    b AS (SELECT *, regexp_extract_all(low, '{citations.ARTICLES}') AS f, regexp_split_to_array(low, '{citations.ARTICLES}') AS g FROM a),
+    b AS (SELECT *, regexp_extract_all(low, '{_SQL_ARTICLES}') AS f, regexp_split_to_array(low, '{_SQL_ARTICLES}') AS g FROM a),
     c AS (SELECT l, a, t, low, unnest({_LOCATED}) AS m FROM b WHERE len(f) > 0),
-    e AS (SELECT l, a, m.pos AS p, m.m AS match, t, regexp_extract_all(substr(low, greatest(1, m.pos - 150), least(150, m.pos - 1)), '{citations.LAW_MARK}')[-1] AS mk,
+    e AS (SELECT l, a, m.pos AS p, m.m AS match, t, regexp_extract_all(substr(low, greatest(1, m.pos - 150), least(150, m.pos - 1)), '{_SQL_MARK}')[-1] AS mk,
         regexp_extract(substr(t, greatest(1, m.pos - 240), m.pos - greatest(1, m.pos - 240)), '[^.]*$') AS lft, substr(t, m.pos, 240) AS rgt FROM c),
     h AS (SELECT l, a, p, match, CASE WHEN mk IS NULL OR mk = 'bu kanun' THEN l {_CASE_NAMES} ELSE regexp_extract(mk, '^\\d+') END AS tl, lft,
         CASE WHEN instr(rgt, '.') > 0 THEN substr(rgt, 1, instr(rgt, '.')) ELSE rgt END AS r FROM e),
-    k AS (SELECT l, a, p, tl, substr(trim(regexp_replace(lft || r, '\\s+', ' ', 'g')), greatest(1, length(ltrim(lft)) - 99), 200) AS kanit, unnest(list_distinct(regexp_extract_all(match, '\\d+'))) AS n FROM h),
+    k AS (SELECT l, a, p, tl, substr(trim(regexp_replace(lft || r, '\\s+', ' ', 'g')), greatest(1, length(ltrim(lft)) - 99), 200) AS kanit, unnest(list_distinct(list_transform(regexp_extract_all(match, '[0-9]+'), lambda x, i: CASE WHEN i = 1 AND starts_with(match, 'ek') THEN 'Ek ' || x WHEN i = 1 AND starts_with(match, 'geçici') THEN 'Geçici ' || x ELSE x END))) AS n FROM h),
     o AS (SELECT l || '-' || a AS kaynak, tl || '-' || n AS hedef, CASE {_REL} ELSE 'atif' END AS iliski, kanit, p FROM k WHERE NOT coalesce(tl = l AND n = a, false)),
     ed AS (SELECT kaynak, hedef, iliski, arg_min(kanit, (p, kanit)) AS kanit FROM o WHERE kaynak IS NOT NULL GROUP BY ALL)"""
 
@@ -135,7 +148,7 @@ def citation_graph(spark: SparkSession, d: str) -> DataFrame:
     return citations.adjacency(_edges(spark, d)).select("dugum", F.array_join("ileri", " ").alias("ileri"), F.array_join("geri", " ").alias("geri"))
 
 
-_PRIO = "CASE iliski " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(citations.PRIORITY)) + " END"
+_PRIO = "CASE iliski WHEN 'mulga' THEN 0 WHEN 'degistirir' THEN 1 WHEN 'istisna' THEN 2 WHEN 'yaptirim' THEN 3 WHEN 'gonderme' THEN 4 WHEN 'atif' THEN 5 END"
 
 
 @query(
@@ -151,8 +164,8 @@ _PART = lambda p, t, v: f"""list_transform((SELECT {_LOCATED} FROM (SELECT regex
 _NO = r"\d{3,5}\s*say[ıi]l[ıi]"
 _MENTIONS = f"""a AS (SELECT DISTINCT karar_id, {sql_lower('gerekce')} AS low FROM karar WHERE gerekce IS NOT NULL AND kayit_no IN (SELECT min(kayit_no) FROM karar GROUP BY chunk_id)),
     z AS (SELECT kayit_no, {sql_lower('gerekce')} AS low FROM karar WHERE gerekce IS NOT NULL),
-    p AS (SELECT kayit_no, unnest(list_concat(list_concat({_PART(_NO, 'no', "regexp_extract(x.m, '^[0-9]+')")}, {_PART('|'.join(_NAMES), 'ad', 'x.m')}), {_PART(rf'[0-9]+\s*{_ORD}\s*madde', 'madde', "regexp_extract(x.m, '^[0-9]+')")})) AS p FROM z),
-    q AS (SELECT kayit_no, p.pos AS pos, p.tip AS tip, p.deger AS deger FROM p),
+    p AS (SELECT kayit_no, unnest(list_concat(list_concat({_PART(_NO, 'no', "regexp_extract(x.m, '^[0-9]+')")}, {_PART('|'.join(_NAMES), 'ad', 'x.m')}), {_PART(_SQL_ARTICLE, 'madde', "regexp_extract(x.m, '[0-9]+')")})) AS p FROM z),
+    q AS (SELECT kayit_no, p.pos AS pos, p.tip AS tip, p.deger AS deger FROM p WHERE p.tip <> 'madde' OR regexp_matches(p.deger, '[1-9]')),
     w AS (SELECT *, last_value(CASE WHEN tip = 'no' THEN struct_pack(pos := pos, deger := deger) END IGNORE NULLS) OVER b AS no_, last_value(CASE WHEN tip <> 'madde' THEN deger END IGNORE NULLS) OVER b AS l_,
         first_value(CASE WHEN tip <> 'madde' THEN deger END IGNORE NULLS) OVER n AS r_ FROM q
         WINDOW b AS (PARTITION BY kayit_no ORDER BY pos, tip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (PARTITION BY kayit_no ORDER BY pos, tip ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
@@ -170,7 +183,7 @@ def citation_mentions(spark: SparkSession, d: str) -> DataFrame:
     return _mentions(spark, d)
 
 
-_CASE_RESOLVE = "CASE WHEN regexp_matches(kanun, '^[0-9]+$') THEN kanun " + " ".join(f"WHEN contains({sql_lower('kanun')}, '{n}') THEN '{citations.LAW_NAMES[n]}'" for n in _NAMES) + " END"
+_CASE_RESOLVE = "CASE WHEN regexp_matches(kanun, '^[0-9]+$') THEN kanun " + " ".join(f"WHEN contains({sql_lower('kanun')}, '{n}') THEN '{no}'" for n, no in _LAWS) + " END"
 
 
 @query(
@@ -195,13 +208,22 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_MENTIONS}, x AS (SELECT DISTINCT kanun || '-' || madde AS dugum, karar_id FROM me JOIN karar USING (kayit_no))
-    SELECT dugum, karar_id, row_number() OVER (PARTITION BY dugum ORDER BY karar_id)::INT AS sira FROM x QUALIFY sira <= 8"""
+    f"""WITH {_MENTIONS}, x AS (SELECT kanun || '-' || madde AS dugum, karar_id, min(kayit_no) AS ilk FROM me JOIN karar USING (kayit_no) GROUP BY ALL)
+    SELECT dugum, karar_id, row_number() OVER (PARTITION BY dugum ORDER BY ilk, karar_id)::INT AS sira FROM x WHERE dugum IN (SELECT mevzuat_no || '-' || madde_no FROM madde) QUALIFY sira <= 8"""
 )
 def decisions_of_articles(spark: SparkSession, d: str) -> DataFrame:
-    """At most eight decisions for each cited article, one row a decision."""
-    rows = _mentions(spark, d).join(table(spark, d, "karar").select("kayit_no", "karar_id"), "kayit_no").select(F.concat("kanun", F.lit("-"), "madde").alias("dugum"), "karar_id").distinct()
-    return rows.withColumn("sira", F.row_number().over(Window.partitionBy("dugum").orderBy("karar_id"))).filter("sira <= 8")
+    """The first eight decisions of each cited article that exists, one row a decision."""
+    cited = _mentions(spark, d).join(table(spark, d, "karar").select("kayit_no", "karar_id"), "kayit_no")
+    return citations.decisions_of_articles(cited, table(spark, d, "madde"))
+
+
+@query(
+    f"""WITH {_EDGES}, m AS (SELECT mevzuat_no || '-' || madde_no AS hedef, mevzuat_adi AS ad, baslik FROM madde WHERE mevzuat_no IS NOT NULL AND madde_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hedef ORDER BY kayit_no) = 1)
+    SELECT kaynak, ed.hedef AS hedef, iliski, ad, baslik, m.hedef IS NOT NULL AS var FROM ed LEFT JOIN m ON ed.hedef = m.hedef"""
+)
+def citation_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Citations with the name and heading of the cited article, and whether it exists."""
+    return citations.targets(_edges(spark, d), table(spark, d, "madde")).select("kaynak", "hedef", "iliski", "ad", "baslik", "var")
 
 
 _SCORE = f"round(len(list_intersect(list_distinct({sql_tokens('anahtar')}), list_distinct({sql_tokens('metin')})))::DOUBLE / greatest(len(list_distinct({sql_tokens('anahtar')})), 1), 3)"

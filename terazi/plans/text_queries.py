@@ -98,16 +98,27 @@ def html_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
-_HEAD = f"regexp_matches({sql_lower('x')}, '{text.HEADER.replace(chr(39), chr(39) * 2)}')"
+#: The SQL has its own copy of the lines, so that a wrong one shows.
+_SQL_HEADS = "|".join(
+    (
+        '^\\s*"?içtihat metni"?\\s*(?:t\\.?c\\.?)?\\s*$', "^\\s*t\\.?c\\.?\\s*$", "^\\s*karar\\s+içeriği\\s*$", "^\\s*danıştay.*[0-9]{4}/[0-9]+\\s*e\\.?.*$", "^\\s*(?:[a-zçğıöşü]+\\s+){0,3}daires[iı]?\\s*(?:başkanlığı)?\\s*$",
+        "^\\s*(?:birinci|ikinci|üçüncü|dördüncü|beşinci|altıncı|yedinci|sekizinci|dokuzuncu|onuncu|onbirinci|onikinci|onüçüncü|ondördüncü|onbeşinci)\\s+daire\\s*$",
+        "^\\s*idar[iı]\\s+dava\\s+da[iı]reler[iı]\\s+kurulu\\s*$", "^\\s*(?:temyiz\\s+eden|karşı\\s+taraf|vekili|vekilleri|müdahil|istemin\\s+özeti)(?:[^\\p{L}\\p{N}_].*)?:.*$", "^\\s*(?:yargılama\\s+süreci|dava\\s+konusu\\s+istem)\\s*:?\\s*$",
+        "^\\s*(?:mahkemesi|dava türü|davacı|davalı|taraflar|dava|ilgili kanun)\\s*:.*$", "^\\s*yargıtay\\s+(?:ilamı|kararı|[0-9]+)\\s*$", "^\\s*[0-9]+\\.\\s*(?:hukuk|ceza)\\s+dairesi\\s+[0-9]{4}/[0-9]+\\s*e\\..*$", "^\\s*taraflar\\s+arasında\\s+görülen\\s+dava.*$",
+        "^\\s*(?:tar[iı]h[iı]|numarası|esas\\s*no|karar\\s*no|[iı]lam\\s*no)\\s*:.*$", "^.*(?:temyiz\\s+edilmiş\\s+olmakla|tetkik\\s+hakimi\\s+tarafından\\s+düzenlenen\\s+rapor).*$", "^\\s*(?:hukuk|ceza)\\s+genel\\s+kurulu\\s+[0-9]{4}/[0-9]+\\s*e\\..*$",
+        "^\\s*(?:ba[şs]kan|[üu]ye|kat[iı]p|kâtip)(?:[^\\p{L}\\p{N}_].*)?$",
+    )
+)
+_SQL_CAPITALS = "^\\s*(?:[A-ZÇĞİÖŞÜ]\\s+){3,}[A-ZÇĞİÖŞÜ]\\s*$|^\\s*[A-ZÇĞİÖŞÜ\\s./]{3,40}\\s*:\\s*\\.{0,4}\\s*$"
+_HEAD = f"regexp_matches({sql_lower('x')}, '{_SQL_HEADS}') OR regexp_matches(x, '{_SQL_CAPITALS}')"
+_BODY = f"array_to_string(list_filter(list_transform(string_split({_sql_html('metin')}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT ({_HEAD})), chr(10))"
 
 
-@query(
-    f"""SELECT kayit_no, array_to_string(list_filter(list_transform(string_split({_sql_html('metin')}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT ({_HEAD})), chr(10)) AS govde
-    FROM karar_kaydi"""
-)
+@query(f"SELECT kayit_no, {_BODY} AS govde FROM karar_kaydi UNION ALL SELECT kayit_no, {_BODY} AS govde FROM danistay_karari")
 def decision_bodies(spark: SparkSession, d: str) -> DataFrame:
-    """Decisions without head, signatures and blank lines."""
-    return table(spark, d, "karar_kaydi").select("kayit_no", text.decision_body("metin").alias("govde"))
+    """Decisions of both courts without head, signatures and blank lines."""
+    rows = [table(spark, d, t).select("kayit_no", text.decision_body("metin").alias("govde")) for t in ("karar_kaydi", "danistay_karari")]
+    return rows[0].unionByName(rows[1])
 
 
 @query(
@@ -125,11 +136,30 @@ def official_addresses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "mevzuat_kaydi").select("kayit_no", F.when(lacking, "").otherwise(link).alias("adres"), whole.alias("tam"))
 
 
-@query()
+_SQL_NAMES = """('sosyal sigortalar ve genel saglik sigortasi kanunu', '5510'), ('kisisel verilerin korunmasi kanunu', '6698'), ('tuketicinin korunmasi hakkinda kanun', '6502'), ('is sagligi ve guvenligi kanunu', '6331'),
+    ('idari yargilama usulu kanunu', '2577'), ('hukuk muhakemeleri kanunu', '6100'), ('ceza muhakemesi kanunu', '5271'), ('icra ve iflas kanunu', '2004'), ('turk borclar kanunu', '6098'), ('turk ticaret kanunu', '6102'),
+    ('turk medeni kanunu', '4721'), ('vergi usul kanunu', '213'), ('turk ceza kanunu', '5237'), ('avukatlik kanunu', '1136'), ('kabahatler kanunu', '5326'), ('borclar kanunu', '6098'), ('medeni kanunu', '4721'), ('ticaret kanunu', '6102'),
+    ('medeni kanun', '4721'), ('ceza kanunu', '5237'), ('is kanunu', '4857'), ('iyuk', '2577'), ('kvkk', '6698'), ('tbk', '6098'), ('tmk', '4721'), ('tck', '5237'), ('hmk', '6100'), ('ttk', '6102'), ('cmk', '5271'), ('vuk', '213'),
+    ('ikk', '6331'), ('iik', '2004'), ('ik', '4857')"""
+_SQL_KIND = "(?:(ek|geçici|gecici|mükerrer|mukerrer)\\s+)?"
+_SQL_TOLD = _SQL_KIND + "(?:madde|m\\.|mad\\.)\\s*(?:([0-9]+)\\s*/\\s*([a-zçğıöşü])(?:$|[^\\p{L}])|([0-9]+))|" + _SQL_KIND + "([0-9]+(?:\\s*/\\s*[a-zçğıöşü])?)\\s*(?:\\.|inci|nci|uncu|üncü|ıncı|ncı|ncu|ncü)\\s*madde"
+
+
+@query(
+    f"""WITH n AS (SELECT *, row_number() OVER () AS o FROM (VALUES {_SQL_NAMES}) v(ad, kanun)),
+        t AS (SELECT doc_id, coalesce({sql_fold('text')}, '') AS f, coalesce({sql_lower('text')}, '') AS low FROM documents),
+        b AS (SELECT doc_id, arg_min(ad, o) AS ad, arg_min(kanun, o) AS kanun FROM t JOIN n ON regexp_matches(f, '(?:^|[^\\p{{L}}\\p{{N}}_])' || ad || '(?:$|[^\\p{{L}}\\p{{N}}_])') GROUP BY 1),
+        g AS (SELECT t.doc_id, ad, kanun, f, low, regexp_extract(low, '{_SQL_TOLD}', ['k1', 'n1', 'h1', 'n2', 'k2', 'n3']) AS m,
+            regexp_extract(low, '(?:^|[^\\p{{L}}\\p{{N}}])([0-9]{{3,5}})\\s*(?:sayılı|sayili|say\\.|kanunu?(?:$|[^\\p{{L}}\\p{{N}}])|(?:ek|geçici|gecici|mükerrer|mukerrer)?\\s*(?:madde|m\\.|mad\\.))', 1) AS no FROM t LEFT JOIN b USING (doc_id)),
+        r AS (SELECT doc_id, coalesce(kanun, no) AS kanun, m.k1 || m.k2 AS kind, CASE WHEN m.n1 <> '' THEN m.n1 || '/' || m.h1 ELSE m.n2 || m.n3 END AS told,
+            CASE WHEN ad IS NULL THEN '' ELSE regexp_extract(substr(f, instr(f, ad) + length(ad)), '^[\\s,.:]*([0-9]+(?:\\s*/\\s*[a-z])?)\\s*(?:\\.|inci|nci|uncu)?\\s*(?:madde[\\p{{L}}]*)?\\s*$', 1) END AS behind FROM g),
+        a AS (SELECT doc_id, kanun, kind, upper(translate(regexp_replace(CASE WHEN told <> '' THEN told ELSE behind END, '\\s', '', 'g'), 'iı', 'İI')) AS a FROM r)
+    SELECT doc_id, kanun, CASE WHEN a = '' THEN '' ELSE (CASE WHEN kind = 'ek' THEN 'Ek ' WHEN kind IN ('geçici', 'gecici') THEN 'Geçici ' WHEN kind IN ('mükerrer', 'mukerrer') THEN 'Mükerrer ' ELSE '' END) || a END AS madde, kanun <> '' AS atifli FROM a"""
+)
 def text_references(spark: SparkSession, d: str) -> DataFrame:
-    """The law and the article that each document names first."""
+    """The law, by name, abbreviation or number, and the article that each document names."""
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", text.law_reference("text").alias("kanun"), text.article_reference("text").alias("madde"), (text.law_reference("text") != "").alias("atifli"))
+    return docs.select("doc_id", text.law_reference("text").alias("kanun"), text.article_reference("text").alias("madde")).withColumn("atifli", F.col("kanun") != "")
 
 
 @query()

@@ -236,3 +236,24 @@ def test_merged_decisions_order_and_label(spark):
     df = spark.createDataFrame(rows, "daire string, id string, esas_no string, karar_no string, karar_tarihi string, kayit_no long, skor double, canli boolean, _o int")
     got = decisions.merged(df, ["_o", "kayit_no"], 3).orderBy("daire", "sira").collect()
     assert [(r.id, r.kaynak) for r in got] == [("H", "yerel"), ("F", "yerel"), ("G", "yerel"), ("B", "karma"), ("A", "karma"), ("D", "yerel"), ("E", "yerel")]
+
+
+def test_chains_of_articles(spark):
+    rows = [
+        ("4857", "1", "Bu Kanun, 4 üncü Maddedeki istisnalar dışında uygulanır."), ("1", "2", "2821 sayılı Kanunun 31 inci maddesi hükümleri saklıdır."), ("5", "9", "68, 69 ve 70 inci maddeler uyarınca."), ("5", "70", "70 inci maddede"),
+        ("6102", "1136", "1201 inci maddeye göre"), ("7", "1", "ek 3 üncü madde ve geçici 2 nci maddesi, ek 2 ve 4 üncü madde ile 5. maddesi"), ("8", "1", None),
+    ]
+    found = citations.edges(spark.createDataFrame(rows, "mevzuat_no string, madde_no string, metin string"))
+    got = {(r.kaynak, r.hedef): r.iliski for r in found.collect()}
+    assert got == {
+        ("4857-1", "4857-4"): "istisna", ("1-2", "2821-31"): "istisna", ("5-9", "5-68"): "gonderme", ("5-9", "5-69"): "gonderme", ("5-9", "5-70"): "gonderme", ("6102-1136", "6102-1201"): "gonderme",
+        **{("7-1", f"7-{a}"): "atif" for a in ("Ek 3", "Geçici 2", "Ek 2", "4", "5")},
+    }
+    known = spark.createDataFrame([("5", "68", "Ad", "Başlık", 1), ("5", "68", "Sonraki", None, 2)], "mevzuat_no string, madde_no string, mevzuat_adi string, baslik string, kayit_no long")
+    marked = {(r.hedef, r.ad, r.var) for r in citations.targets(found, known).filter("kaynak = '5-9'").collect()}
+    assert marked == {("5-68", "Ad", True), ("5-69", None, False), ("5-70", None, False)}
+
+
+def test_three_forms_of_articles_in_decisions(spark):
+    df = spark.createDataFrame([(1, "4857 sayılı Kanun m.19 ve Madde 20 ile 21 inci madde, 0. madde ve İş Kanunu madde: 22")], "id long, t string")
+    assert [(r.kanun, r.madde) for r in citations.mentions(df, "id", "t").orderBy("pos").collect()] == [("4857", "19"), ("4857", "20"), ("4857", "21"), ("4857", "22")]

@@ -19,9 +19,9 @@ def test_fold(spark, given, expected):
     ("given", "law", "article"),
     [
         ("4857 sayılı Kanunun 19. maddesi", "4857", "19"),
-        ("TBK 6. madde ne diyor", "", "6"),
+        ("TBK 6. madde ne diyor", "6098", "6"),
         ("madde 53 nedir", "", "53"),
-        ("İş Kanunu m. 25", "", "25"),
+        ("İş Kanunu m. 25", "4857", "25"),
         ("4857 madde 19", "4857", "19"),
         ("6698 Kanunu m.3/a", "6698", "3/A"),
         ("geçici madde 5", "", "Geçici 5"),
@@ -86,3 +86,19 @@ def test_iban(spark, given, rest):
 def test_chassis(spark):
     assert value(spark, checks.chassis_shape(F.col("t")), t="1HGCM82633A004352") is True
     assert value(spark, checks.chassis_shape(F.col("t")), t="12345678901234567") is False
+
+
+def test_references_by_name_and_number(spark):
+    cases = [
+        ("TBK 6. madde ne diyor", "6098", "6"), ("madde 53 nedir", "", "53"), ("İş Kanunu m. 25", "4857", "25"), ("TBK 344", "6098", "344"), ("TMK 166 maddesi", "4721", "166"), ("4857 geçici madde 6", "4857", "Geçici 6"),
+        ("m.3/a", "", "3/A"), ("4857 sayılı Kanun 5 inci madde, madde 7", "4857", "5"), ("Türk Borçlar Kanunu mu Borçlar Kanunu mu", "6098", ""), ("tbkx 5", "", ""), ("", "", ""), (None, "", ""),
+    ]
+    df = spark.createDataFrame(cases, "t string, k string, m string").select("*", text.law_reference("t").alias("gk"), text.article_reference("t").alias("gm"))
+    assert [(r.t, r.gk, r.gm) for r in df.collect()] == cases
+
+
+def test_heads_of_decisions(spark):
+    heads = ["İçtihat Metni T.C.", "DANIŞTAY 2. DAİRE 2019/55 E.", "ONUNCU DAİRE", "İDARİ DAVA DAİRELERİ KURULU", "TEMYİZ EDEN (DAVACI) : A. B.", "YARGILAMA SÜRECİ :", "Taraflar arasında görülen dava sonucunda", "Y A R G I T A Y K", "NUMARASI : 2011/199", "Hüküm temyiz edilmiş olmakla incelendi", "ÜYE", "DAVA : ....", "T.C."]
+    body = ["Davacı işyerinde çalıştığını ileri sürmüştür.", "Üyelik aidatı ödenmemiştir.", "Dairesince verilen karar bozulmuştur.", "SONUÇ : Kararın bozulmasına"]
+    df = spark.createDataFrame([(x,) for x in heads + body], "x string").select("x", text.is_header(F.col("x")).alias("h"))
+    assert {r.x for r in df.filter("h").collect()} == set(heads)
