@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terazi.functions.checks import chassis_shape, iban_remainder, national_id_valid
 from terazi.functions.text import turkish_lower
+from terazi.operators.citations import located
 
 #: Identifiers in the order in which they are looked for (fixed values, patterns without groups).
 PATTERNS = (
     ("IBAN", r"\bTR\s?\d{2}(?:\s?\d{4}){5}\s?\d{2}\b"),
     ("SASI", r"\b[A-HJ-NPR-Z0-9]{17}\b"),
+    ("VERGINO", r"(?iu)vergi\s*(?:kimlik\s*)?(?:no|numara(?:sı|si))?\s*[:.]?\s*\d{10}(?!\d)"),
+    ("DOSYA", r"(?iu)dosya\s*(?:no|numara(?:sı|si))?\s*[:.]?\s*(?:19|20)\d{2}\s*/\s*\d{1,6}"),
+    ("DOSYA", r"\b(?:19|20)\d{2}\s*/\s*\d{1,6}(?=\s*D\.\s*[İIi]?[şsŞS])"),
     ("EPOSTA", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]*[A-Za-z0-9_]"),
     ("TCKN", r"\b\d{11}\b"),
     ("TEL", r"\b(?:90[ .-]?)?0?[ .-]?5\d{2}[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2}\b"),
     ("PLAKA", r"\b(?:0[1-9]|[1-7]\d|8[01])\s?[A-ZÇĞİÖŞÜ]{1,3}\s?\d{2,4}\b"),
 )
+#: Of a labelled identifier only the number is masked, the label stays.
+NUMBER = {"VERGINO": r"\d{10}$", "DOSYA": r"(?:19|20)\d{2}\s*/\s*\d{1,6}$"}
 #: What a leak scan looks for in text that should be masked (fixed values).
 LEAKS = (
     ("dosya", r"(?:20|19)\d{2}\s*/\s*\d{1,6}\s*(?:E\.?|K\.?|[Ee]sas|[Kk]arar)"),
     ("vergi", r"\b\d{10}\b"),
     ("sasi", r"\b[A-HJ-NPR-Z0-9]{17}\b"),
     ("dogum", r"(?:[Dd]oğum|d\.?t\.?)[^\n]{0,20}\d{1,2}[./]\d{1,2}[./]\d{4}"),
+    ("sicil", r"(?:[Ss]icil|[Rr]uhsat|[Pp]oliçe|[Pp]olice)\s*(?:no|numarası|numarasi)\s*[:.]?\s*[\w/-]*\d[\w/-]*"),
     ("hesap", r"(?:[Hh]esap|HESAP)\s*(?:no|numarası)?\s*[:.]?\s*\d[\d -]{9,}"),
 )
 
@@ -37,36 +46,65 @@ def _kept(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+_PLACE = "array<struct<p:int,n:int,tur:string,deger:string>>"
+
+
+def places(text: Column) -> Column:
+    """``array<struct<p, n, tur, deger>>``: where identifiers stand, by position, from 1; without overlaps.
+
+    Kinds are looked for in the order of ``PATTERNS``; what an earlier kind holds no later one gets.
+    Everything stays in the row: one read of the text, no shuffle."""
+
+    def of_kind(kind: str, pattern: str) -> Column:
+        def place(m: Column) -> Column:
+            value = F.regexp_extract(m["match"], NUMBER[kind], 0) if kind in NUMBER else m["match"]
+            return F.struct((m["pos"] + F.length(m["match"]) - F.length(value)).cast("int").alias("p"), F.length(value).alias("n"), F.lit(kind).alias("tur"), value.alias("deger"))
+
+        return F.filter(F.transform(located(text, pattern), place), lambda x: _kept(kind, x["deger"])).cast(_PLACE)
+
+    def add(kept: Column, x: Column) -> Column:
+        taken = F.exists(kept, lambda k: (k["p"] < x["p"] + x["n"]) & (x["p"] < k["p"] + k["n"]))
+        return F.when(taken, kept).otherwise(F.array_append(kept, x))
+
+    return F.array_sort(F.aggregate(F.concat(*[of_kind(*x) for x in PATTERNS]), F.array().cast(_PLACE), add))
+
+
+def _numbered(found: Column) -> Column:
+    """Adds ``yer`` to places: [TUR_n], numbered within type in the order of first sight."""
+
+    def mark(x: Column) -> Column:
+        values = F.array_distinct(F.transform(F.filter(found, lambda y: y["tur"] == x["tur"]), lambda y: y["deger"]))
+        name = F.concat(F.lit("["), x["tur"], F.lit("_"), F.array_position(values, x["deger"]), F.lit("]"))
+        return F.struct(x["p"].alias("p"), x["n"].alias("n"), x["tur"].alias("tur"), x["deger"].alias("deger"), name.alias("yer"))
+
+    return F.transform(found, mark)
+
+
 def identifiers(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id_col, tur, deger, ilk``: distinct validated values of each document, with the place of the
-    first. Null texts have none."""
-    out = None
-    for kind, pattern in PATTERNS:
-        values = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
-        rows = docs.select(F.col(id_col), F.col(text).alias("_t"), F.explode(values).alias("deger")).filter(_kept(kind, F.col("deger")))
-        rows = rows.select(id_col, F.lit(kind).alias("tur"), "deger", F.expr("locate(deger, _t)").alias("ilk"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """``id_col, tur, deger, ilk, yer``: distinct validated values of each document, with the place of the
+    first and a placeholder numbered within type by first sight. Null texts have none."""
+    rows = docs.select(F.col(id_col), _bound(places(F.col(text)), _numbered).alias("_p"))
+    keys = F.transform("_p", lambda x: x["yer"])
+    first = F.filter("_p", lambda x, i: F.array_position(keys, x["yer"]) == i + 1)
+    return rows.select(id_col, F.explode(first).alias("x")).select(id_col, "x.tur", "x.deger", F.col("x.p").alias("ilk"), "x.yer")
 
 
-def placeholders(found: DataFrame, id_col: str) -> DataFrame:
-    """Adds ``yer``: [TUR_n], numbered within document and type in the order of first sight."""
-    n = F.row_number().over(Window.partitionBy(id_col, "tur").orderBy("ilk", "deger"))
-    return found.withColumn("yer", F.concat(F.lit("["), F.col("tur"), F.lit("_"), n, F.lit("]")))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def masked(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id_col, maskeli, tablo``: the text with placeholders and the map back; longer values first.
+    """``id_col, maskeli, tablo``: the text with placeholders in the places of identifiers, and the map back.
 
+    Places are replaced by position, so a value inside a longer one or inside a placeholder is not hit.
     The map must not be stored with the text. A document without identifiers keeps its text."""
-    marks = placeholders(identifiers(docs, id_col, text), id_col)
-    ordered = F.reverse(F.array_sort(F.collect_list(F.struct(F.length("deger").alias("n"), F.col("deger").alias("d"), F.col("yer").alias("y")))))
-    tables = marks.groupBy(id_col).agg(ordered.alias("_m"))
-    joined = docs.select(id_col, text).join(tables, id_col, "left")
-    pairs = F.coalesce("_m", F.array().cast("array<struct<n:int,d:string,y:string>>"))
-    done = F.aggregate(pairs, F.col(text), lambda t, x: F.replace(t, x["d"], x["y"]))
-    table = F.map_from_arrays(F.transform(pairs, lambda x: x["y"]), F.transform(pairs, lambda x: x["d"]))
-    return joined.select(id_col, done.alias("maskeli"), table.alias("tablo"))
+    rows = docs.select(F.col(id_col), F.col(text).alias("_t"), _bound(places(F.col(text)), _numbered).alias("_p"))
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    step = lambda s, x: F.struct(F.concat(s["out"], F.substring(F.col("_t"), s["at"], x["p"] - s["at"]), x["yer"]).alias("out"), (x["p"] + x["n"]).alias("at"))
+    done = F.aggregate("_p", start, step, lambda s: F.concat(s["out"], F.substring(F.col("_t"), s["at"], F.length("_t"))))
+    table = F.map_from_entries(F.array_distinct(F.transform("_p", lambda x: F.struct(x["yer"], x["deger"]))))
+    return rows.select(id_col, F.when(F.col("_t").isNotNull(), done).alias("maskeli"), F.coalesce(table, F.create_map().cast("map<string,string>")).alias("tablo"))
 
 
 def unmasked(text: str = "maskeli", table: str = "tablo") -> Column:

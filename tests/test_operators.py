@@ -184,6 +184,15 @@ def test_masking_round_trip(spark):
     assert got[1].back == t and got[2].maskeli is None and got[3].maskeli == ""
 
 
+def test_masking_by_position(spark):
+    t = "DOSYA NO : 2026/1184 ve 2025/12 D.İş, 9. HD 2019/1234 E.; vergi no: 4820573916 ile 4820573916, 34 ABC 123; x.a@b.org a@b.org 1HGCM82633A004352"
+    got = privacy.masked(spark.createDataFrame([(1, t)], "id long, t string"), "id", "t").withColumn("back", privacy.unmasked()).first()
+    assert got.maskeli == "DOSYA NO : [DOSYA_1] ve [DOSYA_2] D.İş, 9. HD 2019/1234 E.; vergi no: [VERGINO_1] ile 4820573916, [PLAKA_1]; [EPOSTA_1] [EPOSTA_2] [SASI_1]"
+    assert got.back == t
+    found = privacy.identifiers(spark.createDataFrame([(1, "b@c.org a@b.org b@c.org"), (2, None)], "id long, t string"), "id", "t")
+    assert rows(found, "id", "tur", "deger", "ilk", "yer") == [(1, "EPOSTA", "a@b.org", 9, "[EPOSTA_2]"), (1, "EPOSTA", "b@c.org", 1, "[EPOSTA_1]")]
+
+
 def test_packs(spark):
     paragraphs = ["a" * 60, "b" * 60, "c" * 200, "d" * 10]
     df = spark.createDataFrame([(1, "\n".join(paragraphs)), (2, "kısa"), (3, ""), (4, None)], "id long, t string")
