@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, *cluster_by: str) -> DataFrame:
     """``df`` as a table written once to the shared folder and read back; it outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/terazi-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/terazi-{df.sparkSession.sparkContext.applicationId}-{uuid.uuid4().hex}"
     if cluster_by:
         df = df.repartition(*cluster_by)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
@@ -54,9 +54,9 @@ def written(df: DataFrame, *cluster_by: str) -> DataFrame:
 
 
 def drop_written(spark: SparkSession) -> int:
-    """Deletes the tables that ``written`` left in the shared folder, once no result reads them any
-    more. Returns how many there were."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/terazi-*")
+    """Deletes the tables that ``written`` left in the shared folder for this application, once no result
+    reads them any more. Returns how many there were."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/terazi-{spark.sparkContext.applicationId}-*")
     fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(pattern) or []
     for status in found:

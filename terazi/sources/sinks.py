@@ -11,17 +11,24 @@ from terazi.operators.relational import first_per_key
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes under a new name first, so that a failed job leaves the table as it was."""
+    """Writes under a new name first, so that a failed job leaves the table as it was. The old table is
+    moved away, not deleted, before the new one takes its place, and moved back if that fails."""
     spark = df.sparkSession
     staging = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.parquet(staging)
     jvm = spark._jvm
     new, old = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
     fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(old, True)
+    away = jvm.org.apache.hadoop.fs.Path(f"{staging}.old")
+    there = fs.exists(old)
+    if there and not fs.rename(old, away):
+        raise OSError(f"{path} could not be moved away")
     if not fs.rename(new, old):
+        if there:
+            fs.rename(away, old)
         raise OSError(f"{staging} could not take the place of {path}")
+    if there:
+        fs.delete(away, True)
 
 
 def merge_by_key(old: DataFrame, new: DataFrame, key: str, newest: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -23,18 +23,17 @@ def first_seen(decisions: DataFrame, key: str, time: str, late: str = "7 days")
     return decisions.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def accumulate(stream: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
     """Appends what the table at ``path`` lacks by key. A batch that is run again adds nothing, since
     its keys are there by then."""
 
     def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(path)
-        except Exception as reason:  # noqa: BLE001 - the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(reason) and "UNABLE_TO_INFER_SCHEMA" not in str(reason):
-                raise
-            old = batch.limit(0)
+        old = batch.sparkSession.read.parquet(path) if _there(batch.sparkSession, path) else batch.limit(0)
         absent_only(old, batch, key).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -49,10 +48,20 @@ def sessions(events: DataFrame, key: str, gap: str = "1 hour", late: str = "1 mi
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drives a stream over what is there and gives the result as a table in memory (for reports)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Drives a stream over what is there and gives the result, which is written beside the checkpoint;
+    a batch that runs again overwrites its own rows. In complete mode the last batch is the result."""
+    rows, last = f"{checkpoint.rstrip('/')}-{name}", []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/{number}")
+        last.append(number)
+
+    stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    reader = spark.read.schema(stream.schema).option("recursiveFileLookup", "true")
+    return reader.parquet(f"{rows}/{last[-1]}" if mode == "complete" else rows)
 
 
 def append_metrics(stream: DataFrame, path: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
