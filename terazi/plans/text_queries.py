@@ -419,3 +419,23 @@ def petition_essence(spark: SparkSession, d: str) -> DataFrame:
     subject = F.trim(F.regexp_extract("text", r"(?:^|\n)\s*KONU\s*:\s*([^\n]*)", 1))
     long = F.get(F.filter(F.split("text", "\n"), lambda x: (F.length(F.trim(x)) >= 60) & (F.upper(x) != x)), F.lit(0))
     return rows.select("doc_id", F.when(F.length(subject) >= 20, subject).otherwise(F.coalesce(F.trim(long), F.lit(""))).alias("oz"))
+
+
+@query(
+    r"""SELECT kayit_no, trim(regexp_replace(regexp_replace(metin, '(?i)\(\s*(?:Ek|Değişik|Degisik|Mülga|Mulga|İptal|Iptal|Yeniden)(?:[^\p{L}\p{N}_)][^)]{0,79}?|)[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}[^)]{0,80}\)', '', 'g'), '\s{2,}', ' ', 'g')) AS temiz,
+        regexp_replace(regexp_replace(coalesce(metin, ''), '[*_`#]', ' ', 'g'), '\s+', ' ', 'g') AS duz FROM madde"""
+)
+def clean_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles without notes of amendments, and without marks of markdown."""
+    return table(spark, d, "madde").select("kayit_no", text.without_notes("metin").alias("temiz"), text.without_markdown("metin").alias("duz"))
+
+
+@query(
+    f"""WITH b AS (SELECT kayit_no, trim(regexp_replace({_BODY}, '\\s+', ' ', 'g')) AS f FROM karar_kaydi UNION ALL SELECT kayit_no, trim(regexp_replace({_BODY}, '\\s+', ' ', 'g')) FROM danistay_karari),
+        h AS (SELECT kayit_no, f, substr(f, 1, 260) AS h, instr(reverse(substr(f, 1, 260)), ' .') AS i FROM b)
+    SELECT kayit_no, CASE WHEN length(f) <= 260 THEN f WHEN i > 0 AND length(h) - i - 1 > 120 THEN substr(h, 1, length(h) - i) || ' …' ELSE rtrim(h) || ' …' END AS ozet FROM h"""
+)
+def decision_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The beginning of each decision of both courts in its own words."""
+    rows = [table(spark, d, t).select("kayit_no", text.own_words(text.decision_body("metin")).alias("ozet")) for t in ("karar_kaydi", "danistay_karari")]
+    return rows[0].unionByName(rows[1])

@@ -102,3 +102,25 @@ def test_heads_of_decisions(spark):
     body = ["Davacı işyerinde çalıştığını ileri sürmüştür.", "Üyelik aidatı ödenmemiştir.", "Dairesince verilen karar bozulmuştur.", "SONUÇ : Kararın bozulmasına"]
     df = spark.createDataFrame([(x,) for x in heads + body], "x string").select("x", text.is_header(F.col("x")).alias("h"))
     assert {r.x for r in df.filter("h").collect()} == set(heads)
+
+
+def _one(spark, value, expr):
+    return spark.createDataFrame([(value,)], "t string").select(expr.alias("x")).first().x
+
+
+def test_small_text_functions(spark):
+    assert _one(spark, "Hani şu kira uyarlama dilekçesi", text.simplified_query("t")) == "kira uyarlama" and _one(spark, "şu dava", text.simplified_query("t")) == "şu dava"
+    assert _one(spark, "Ücret ödenir. (Ek: 1/2/2003-4857/1 md.)  Süre (Değişik madde) işler.", text.without_notes("t")) == "Ücret ödenir. Süre (Değişik madde) işler."
+    assert _one(spark, "**Madde** `5`\n# Ad", text.without_markdown("t")) == " Madde 5 Ad"
+    long = "Birinci cümle " + "uzar " * 24 + "biter. " + "İkinci cümle " + "uzar " * 40
+    assert _one(spark, long, text.own_words("t")) == long[: long.index("biter. ") + 6] + " …" and _one(spark, "kısa  metin", text.own_words("t")) == "kısa metin"
+    cited = "Dava açıldı. Mahkemece 4857 sayılı Kanunun 19 uncu maddesi uyarınca karar verildi. Son."
+    assert _one(spark, cited, text.citation_sentence("t", F.lit("19"))) == "Mahkemece 4857 sayılı Kanunun 19 uncu maddesi uyarınca karar verildi."
+    assert _one(spark, cited, text.citation_sentence("t", F.lit("9"))) == "" and _one(spark, "Karar m. 3/A gereğince burada verilmiştir bile!", text.citation_sentence("t", F.lit("3/A"))).endswith("bile!")
+    assert _one(spark, "a" * 60 + "\nX" + "b" * 60, text.snippet("t", F.lit(62), F.lit(63), 3)) == "…aa X".replace("aa X", "aa Xbbb") + "…"
+    assert _one(spark, "Tanık Zübeyde Karaoğlan Mahkemesi Beypazarı", text.unprotected_runs("t", ("tanık", "mahkemesi"))) == ["Zübeyde Karaoğlan", "Beypazarı"]
+    assert _one(spark, " YOK.", text.hypothetical_text("t")) == "" and _one(spark, "İşveren ücret ödemekle yükümlüdür.", text.hypothetical_text("t")) == "İşveren ücret ödemekle yükümlüdür."
+    assert tuple(_one(spark, '"kira tespiti | Danıştay"', text.search_term("t"))) == ("kira tespiti", "danistay") and tuple(_one(spark, "yok", text.search_term("t"))) == ("", "")
+    names = [("Ali Veli", True), ("Ali", False), ("Ali Mahkemesi", False), ("Can Cem", False)]
+    got = spark.createDataFrame(names, "n string, e boolean").withColumn("t", F.lit("dün ALİ  VELİ geldi")).select("e", text.name_plausible("n", "t", ("mahkemesi",)).alias("g")).collect()
+    assert all(r.e == r.g for r in got)
