@@ -147,8 +147,8 @@ _SQL_TOLD = _SQL_KIND + "(?:madde|m\\.|mad\\.)\\s*(?:([0-9]+)\\s*/\\s*([a-zçğ
 
 @query(
     f"""WITH n AS (SELECT *, row_number() OVER () AS o FROM (VALUES {_SQL_NAMES}) v(ad, kanun)),
-        t AS (SELECT doc_id, coalesce({sql_fold('text')}, '') AS f, coalesce({sql_lower('text')}, '') AS low FROM documents),
-        b AS (SELECT doc_id, arg_min(ad, o) AS ad, arg_min(kanun, o) AS kanun FROM t JOIN n ON regexp_matches(f, '(?:^|[^\\p{{L}}\\p{{N}}_])' || ad || '(?:$|[^\\p{{L}}\\p{{N}}_])') GROUP BY 1),
+        t AS (SELECT doc_id, coalesce({sql_fold('text')}, '') AS f, coalesce({sql_lower('text')}, '') AS low, ' ' || regexp_replace(f, '[^\\p{{L}}\\p{{N}}_ ]', '|', 'g') || ' ' AS z FROM documents),
+        b AS (SELECT doc_id, arg_min(ad, o) AS ad, arg_min(kanun, o) AS kanun FROM t JOIN n ON contains(z, ' ' || ad || ' ') OR contains(z, ' ' || ad || '|') OR contains(z, '|' || ad || ' ') OR contains(z, '|' || ad || '|') GROUP BY 1),
         g AS (SELECT t.doc_id, ad, kanun, f, low, regexp_extract(low, '{_SQL_TOLD}', ['k1', 'n1', 'h1', 'n2', 'k2', 'n3']) AS m,
             regexp_extract(low, '(?:^|[^\\p{{L}}\\p{{N}}])([0-9]{{3,5}})\\s*(?:sayılı|sayili|say\\.|kanunu?(?:$|[^\\p{{L}}\\p{{N}}])|(?:ek|geçici|gecici|mükerrer|mukerrer)?\\s*(?:madde|m\\.|mad\\.))', 1) AS no FROM t LEFT JOIN b USING (doc_id)),
         r AS (SELECT doc_id, coalesce(kanun, no) AS kanun, m.k1 || m.k2 AS kind, CASE WHEN m.n1 <> '' THEN m.n1 || '/' || m.h1 ELSE m.n2 || m.n3 END AS told,
@@ -158,8 +158,8 @@ _SQL_TOLD = _SQL_KIND + "(?:madde|m\\.|mad\\.)\\s*(?:([0-9]+)\\s*/\\s*([a-zçğ
 )
 def text_references(spark: SparkSession, d: str) -> DataFrame:
     """The law, by name, abbreviation or number, and the article that each document names."""
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", text.law_reference("text").alias("kanun"), text.article_reference("text").alias("madde")).withColumn("atifli", F.col("kanun") != "")
+    docs, named = table(spark, d, "documents").select("doc_id", "text", text.law_name("text").alias("_n")), F.col("_n")
+    return docs.select("doc_id", text.law_reference("text", named).alias("kanun"), text.article_reference("text", named).alias("madde")).withColumn("atifli", F.col("kanun") != "")
 
 
 @query()
