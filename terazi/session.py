@@ -50,8 +50,6 @@ def written(df: DataFrame, *cluster_by: str) -> DataFrame:
     if cluster_by:
         df = df.repartition(*cluster_by)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    # Shuffle files live until the driver collects their plan; the table makes them useless now.
-    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
