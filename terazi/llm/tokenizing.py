@@ -15,8 +15,9 @@ import heapq
 import json
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +36,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 FREQUENT_WORDS, FREQUENT_LENGTH = 40_000, 48
 #: Buckets of the literal rank map; words of more bytes go to the heap merge.
 BUCKETS, FOLD_BYTES = 16_384, 1_024
+#: Chunks that a task remembers, and the longest of them in characters.
+MEMO_CHUNKS, MEMO_LENGTH = 300_000, 100
 NONE = 2_147_483_647
 
 
@@ -126,16 +129,19 @@ def heap_merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
-_IRREGULAR = re.compile(r"\s |^ | \s| $")
-_BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
+#: A token ends before a space unless there is white space on both sides of that cut. Texts without a
+#: space before white space or at the end can be cut at every space.
+_LOOSE = re.compile(r" (?!\S)")
+_CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
 
-def _chunks(text: str) -> list[str]:
-    """Cuts before single spaces between visible characters, where every token ends."""
-    if _IRREGULAR.search(text):
-        return _BOUNDARY.split(text)
+def _chunks(text: str) -> tuple[list[str], list[str]]:
+    """Parts of the text that tokens don't cross: those given as they are, then those given without
+    the one space that each of them begins with."""
+    if _LOOSE.search(text):
+        return _CUT.split(text), []
     first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    return [first], rest
 
 
 def _word_splitter():
@@ -145,23 +151,26 @@ def _word_splitter():
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words_of, held = _word_splitter(), Counter()
+    words_of, whole, spaced = _word_splitter(), Counter(), Counter()
 
     def flush() -> pa.RecordBatch:
         words: Counter = Counter()
-        for chunk, n in held.items():
-            for word in words_of(chunk):
-                words[word] += n
-        held.clear()
+        for space, held in (("", whole), (" ", spaced)):
+            for chunk, n in held.items():
+                for word in words_of(space + chunk):
+                    words[word] += n
+            held.clear()
         return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                held.update(_chunks(text))
-        if len(held) > 200_000:
+                a, b = _chunks(text)
+                whole.update(a)
+                spaced.update(b)
+        if len(whole) + len(spaced) > 200_000:
             yield flush()
-    if held:
+    if whole or spaced:
         yield flush()
 
 
@@ -187,44 +196,50 @@ def encode_words(words: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return words.withColumn("ids", F.coalesce(folded, long_word(F.when(size > FOLD_BYTES, F.col("word")))))
 
 
+class _Memo(dict):
+    """What ``find`` gives for a chunk, remembered for a bounded number of short chunks."""
+
+    def __init__(self, find: Callable[[str], object]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, chunk: str) -> object:
+        found = self.find(chunk)
+        if len(chunk) <= MEMO_LENGTH:
+            if len(self) >= MEMO_CHUNKS:
+                self.clear()
+            self[chunk] = found
+        return found
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class _Lookup:
-    """Chunk -> ids with a bounded cache; words that are not in the dictionary are reported."""
+    """Ids of texts, as the bytes of 32-bit numbers; words that are not in the dictionary are reported."""
+
+    def __init__(self, frequent: dict[str, bytes]):
+        words_of, known = _word_splitter(), frequent.get
+        self.rare: dict[str, bytes] = {}
+
+        def lacking(chunk: str) -> tuple[str, ...]:
+            return tuple(w for w in words_of(chunk) if w not in frequent)
 
-    def __init__(self, frequent: dict[str, list[int]]):
-        self.frequent, self.words_of, self.cache = frequent, _word_splitter(), {}
+        def ids(chunk: str) -> bytes:
+            return b"".join([self.rare[w] if (found := known(w)) is None else found for w in words_of(chunk)])
+
+        self.lacking = _Memo(lacking).__getitem__, _Memo(lambda chunk: lacking(" " + chunk)).__getitem__
+        self.ids = _Memo(ids).__getitem__, _Memo(lambda chunk: ids(" " + chunk)).__getitem__
 
     def missing(self, text: str) -> set[str]:
-        out: set[str] = set()
-        cache, get = self.cache, self.cache.get
-        for chunk in set(_chunks(text)):
-            lacking = get(chunk)
-            if lacking is None:
-                lacking = tuple(w for w in self.words_of(chunk) if w not in self.frequent)
-                if len(cache) > 300_000:
-                    cache.clear()
-                cache[chunk] = lacking
-            if lacking:
-                out.update(lacking)
-        return out
-
-    def encode(self, text: str, rare: dict[str, list[int]]) -> list[int]:
-        out: list[int] = []
-        cache, get, add = self.cache, self.cache.get, out.extend
-        for chunk in _chunks(text):
-            ids = get(chunk)
-            if ids is None:
-                ids, known = [], True
-                for w in self.words_of(chunk):
-                    found = self.frequent.get(w)
-                    if found is None:
-                        found, known = rare[w], False
-                    ids.extend(found)
-                if known:
-                    if len(cache) > 300_000:
-                        cache.clear()
-                    cache[chunk] = ids
-            add(ids)
-        return out
+        whole, spaced = _chunks(text)
+        return set().union(*filter(None, map(self.lacking[0], whole)), *filter(None, map(self.lacking[1], spaced)))
+
+    def encode(self, text: str, rare: dict[str, bytes]) -> bytes:
+        self.rare = rare
+        whole, spaced = _chunks(text)
+        return b"".join([*map(self.ids[0], whole), *map(self.ids[1], spaced)])
 
 
 def encode_documents(
@@ -249,7 +264,7 @@ def encode_documents(
         .select("word", "ids")
         .toArrow()
     )
-    known = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), top["ids"].to_pylist(), strict=True)))
+    known = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), map(_packed, top["ids"].to_pylist()), strict=True)))
 
     # Copies of one text would all meet under one key: the id spreads them.
     keyed = source.withColumn("_key", F.xxhash64("_text", "_id"))
@@ -267,12 +282,11 @@ def encode_documents(
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup(known.value)
         for batch in batches:
-            flat, ends = [], [0]
+            parts = []
             for text, words, ids in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if text:
-                    flat.extend(lookup.encode(text, dict(zip(words or (), ids or (), strict=True))))
-                ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
+                parts.append(lookup.encode(text, dict(zip(words or (), map(_packed, ids or ()), strict=True))) if text else b"")
+            ends = np.cumsum([0, *map(len, parts)]) // 4
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["_id", "ids"])
 
     rare = (

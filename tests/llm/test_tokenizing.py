@@ -1,6 +1,8 @@
 """Token ids against the published encoder, and the exact round trip."""
 
 import random
+import sys
+from array import array
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -57,3 +59,43 @@ def test_heap_agrees_with_fold():
     reference = _reference()
     for word in ("maddesindeki", "x" * 77, "aaaaabaaaab", "İŞÇİ"):
         assert tokenizing.heap_merge(word.encode(), ranks) == reference.encode(word, add_special_tokens=False).ids
+
+
+class _All(dict):
+    """Every word, encoded by the heap."""
+
+    def __missing__(self, word):
+        return array("i", tokenizing.heap_merge(word.encode(), tokenizing.read_ranks(tokenizing.default_vocabulary()))).tobytes()
+
+
+def test_cuts_beside_any_white_space():
+    rng, reference, lookup, words = random.Random(7), _reference(), tokenizing._Lookup({}), _All()
+    for _ in range(5_000):
+        text = "".join(rng.choice(["   ", "  ", " ", " ", " ", "\n", "\t", "\xa0", "\x1c", "\x85", "\u2028", "a", "bir", "'s", "19", ".", "ğ", "😀"]) for _ in range(rng.randint(1, 12)))
+        ids = reference.encode(text, add_special_tokens=False).ids
+        assert array("i", lookup.encode(text, words)).tolist() == ids, repr(text)
+        assert lookup.missing(text) == set(tokenizing._word_splitter()(text)), repr(text)
+
+
+def test_known_chunks_take_no_call_each():
+    lookup = tokenizing._Lookup({w: b"\1\0\0\0" for w in ("bir", " bir", " iki", " üç", "\n\n  ")})
+    for text in ("bir" + " iki üç" * 1_000, "bir" + " iki üç" * 500 + "\n\n   bir" + " iki üç" * 500):
+        lookup.encode(text, {})
+        lookup.missing(text)
+        calls = [0]
+
+        def count(frame, event, arg, calls=calls):
+            calls[0] += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            ids, missing = lookup.encode(text, {}), lookup.missing(text)
+        finally:
+            sys.setprofile(None)
+        assert calls[0] < 100
+        assert len(ids) // 4 >= 2_001 and not missing
+
+
+def test_only_empty_texts(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
+    assert sorted(map(tuple, tokenizing.encode_documents(docs).collect())) == [(1, []), (2, [])]
